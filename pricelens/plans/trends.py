@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import DataFrame
+
+from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.operators.asof import deflate
+from pricelens.operators.features import (
+    annual_means, first_target, latest_real_price, market_index, monthly_targets,
+    price_near_offset, price_vs_market, yearly_trend)
+from pricelens.operators.aggregates import group_median
 from pricelens.operators.series import window_features, window_features_sql
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
@@ -28,6 +35,19 @@ _REAL_PANEL_SQL = f"""
     ASOF LEFT JOIN cpi c ON m._y >= c.year"""
 
 
+def _offset_sql(months: int) -> str:
+    """Nearest real price to Jan 1 of release year + months (<= 91 days)."""
+    return f"""
+        SELECT item_id, {rnd_sql('arg_min(real, struct_pack(d := diff, t := date))', 2)} AS v FROM (
+          SELECT r.item_id, r.date, r.real, abs(r.date - t.target) AS diff
+          FROM real_panel r JOIN (
+             SELECT item_id, CAST(make_date(release_year, 1, 1) + INTERVAL {months} MONTH AS DATE) AS target
+             FROM items WHERE release_year IS NOT NULL) t ON r.item_id = t.item_id
+          WHERE t.target <= DATE '{V.CUTOFF}' AND r.date <= DATE '{V.CUTOFF}'
+            AND r.price > 0 AND r.real IS NOT NULL) x
+        WHERE diff <= 91 GROUP BY item_id"""
+
+
 def _trends_sql() -> str:
     return V.with_views(window_features_sql("real_panel", V.CUTOFF), ("real_panel", _REAL_PANEL_SQL))
 
@@ -38,3 +58,96 @@ def _trends_sql() -> str:
 def real_price_trends(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
     return window_features(real_monthly_panel(p, V.CUTOFF), V.CUTOFF)
+
+
+# ----------------------------------------------------------------- yearly view
+def annual_real(p: V.Panel) -> DataFrame:
+    ann = annual_means(p.panel_m, V.CUTOFF)
+    real = deflate(ann, p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_price")
+    return real.where(F.col("real_price").isNotNull())
+
+
+_ANNUAL_SQL = f"""
+    SELECT a.item_id, a.year, a.mean_price,
+           a.mean_price * (SELECT value FROM cpi WHERE year = {V.CPI_REF_YEAR}) / c.value AS real_price
+    FROM (SELECT item_id, CAST(year(date) AS INTEGER) AS year, avg(price) AS mean_price
+          FROM panel_m WHERE date <= DATE '{V.CUTOFF}' GROUP BY 1, 2) a
+    ASOF JOIN cpi c ON a.year >= c.year"""
+
+
+@register("annual_real_prices", covers=("D2", "C6", "H7", "B7"),
+          oracle=lambda: V.with_views(
+              f"SELECT item_id, year, {rnd_sql('mean_price', 4)} AS mean_price, "
+              f"{rnd_sql('real_price', 4)} AS real_price FROM annual WHERE real_price IS NOT NULL",
+              ("annual", _ANNUAL_SQL)))
+def annual_real_prices(spark, sf_dir):
+    a = annual_real(V.Panel(spark, sf_dir))
+    return a.select("item_id", "year", rnd("mean_price", 4).alias("mean_price"), rnd("real_price", 4).alias("real_price"))
+
+
+@register("market_index", covers=("D5", "C6"),
+          oracle=lambda: V.with_views(
+              f"SELECT year, {rnd_sql('median(real_price)', 4)} AS market_index FROM annual "
+              f"WHERE real_price IS NOT NULL GROUP BY year", ("annual", _ANNUAL_SQL)))
+def market_index_query(spark, sf_dir):
+    m = market_index(annual_real(V.Panel(spark, sf_dir)))
+    return m.select("year", rnd("market_index", 4).alias("market_index"))
+
+
+@register("price_vs_market", covers=("D8", "L11", "D5", "C6"),
+          oracle=lambda: V.with_views(
+              f"""SELECT a.item_id, {rnd_sql('avg(a.real_price / m.mi)', 4)} AS price_vs_market_mean
+                  FROM annual a JOIN (SELECT year, median(real_price) AS mi FROM annual
+                                      WHERE real_price IS NOT NULL GROUP BY year) m ON a.year = m.year
+                  WHERE m.mi > 0 AND a.real_price IS NOT NULL GROUP BY a.item_id""",
+              ("annual", _ANNUAL_SQL)))
+def price_vs_market_query(spark, sf_dir):
+    a = annual_real(V.Panel(spark, sf_dir))
+    return price_vs_market(a, market_index(a))
+
+
+@register("yearly_trend", covers=("L18", "D2", "D17", "D18"),
+          oracle=lambda: V.with_views(
+              f"""SELECT item_id,
+                   CASE WHEN count(real_price) >= 3 THEN {rnd_sql('regr_slope(real_price, CAST(year AS DOUBLE))', 4)} END AS yearly_velocity,
+                   CASE WHEN count(real_price) >= 2 THEN {rnd_sql('stddev_pop(real_price)', 4)} END AS yearly_volatility
+                  FROM annual WHERE real_price IS NOT NULL GROUP BY item_id""",
+              ("annual", _ANNUAL_SQL)))
+def yearly_trend_query(spark, sf_dir):
+    return yearly_trend(annual_real(V.Panel(spark, sf_dir)))
+
+
+# ------------------------------------------------------ release-anchored view
+REFERENCE_YEAR = V.CPI_REF_YEAR
+
+
+@register("release_prices", covers=("L8", "F5", "L9", "L10", "B11", "C5", "C6", "I7", "I3", "I6"),
+          oracle=lambda: V.with_views(f"""
+    SELECT i.item_id, o12.v AS real_price_at_12m, o60.v AS real_price_at_60m,
+           {rnd_sql('pm.real_msrp', 4)} AS real_msrp,
+           CASE WHEN o60.v IS NOT NULL AND pm.real_msrp > 0 THEN {rnd_sql('o60.v / pm.real_msrp', 4)} END AS real_msrp_ratio,
+           (CASE WHEN i.release_year IS NOT NULL THEN ({REFERENCE_YEAR} - i.release_year) * 12 END) AS months_since_release,
+           (CASE WHEN pm.discontinued_year IS NOT NULL THEN ({REFERENCE_YEAR} - pm.discontinued_year) * 12 END) AS months_since_discontinued
+    FROM items i
+    LEFT JOIN (SELECT d.platform, d.discontinued_year,
+                      d.msrp * (SELECT value FROM cpi WHERE year = {V.CPI_REF_YEAR}) / c.value AS real_msrp
+               FROM platform_dim d ASOF LEFT JOIN cpi c ON d.launch_year >= c.year) pm ON i.platform = pm.platform
+    LEFT JOIN ({_offset_sql(12)}) o12 ON i.item_id = o12.item_id
+    LEFT JOIN ({_offset_sql(60)}) o60 ON i.item_id = o60.item_id""", ("real_panel", _REAL_PANEL_SQL)))
+def release_prices(spark, sf_dir):
+    p = V.Panel(spark, sf_dir)
+    it = p.items
+    rp = real_monthly_panel(p)
+    o12 = price_near_offset(rp, it, 12, V.CUTOFF, "real_price_at_12m")
+    o60 = price_near_offset(rp, it, 60, V.CUTOFF, "real_price_at_60m")
+    pm = deflate(p.platform_dim, p.cpi, V.CPI_REF_YEAR, "msrp", "launch_year", out="real_msrp") \
+        .select("platform", "discontinued_year", "real_msrp")
+    out = (it.join(F.broadcast(pm), "platform", "left")
+           .join(o12, "item_id", "left").join(o60, "item_id", "left"))
+    return out.select(
+        "item_id", "real_price_at_12m", "real_price_at_60m", rnd("real_msrp", 4).alias("real_msrp"),
+        F.when(F.col("real_price_at_60m").isNotNull() & (F.col("real_msrp") > 0),
+               rnd(F.col("real_price_at_60m") / F.col("real_msrp"), 4)).alias("real_msrp_ratio"),
+        ((F.lit(REFERENCE_YEAR) - F.col("release_year")) * 12).alias("months_since_release"),
+        ((F.lit(REFERENCE_YEAR) - F.col("discontinued_year")) * 12).alias("months_since_discontinued"),
+    )
