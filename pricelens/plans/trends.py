@@ -151,3 +151,98 @@ def release_prices(spark, sf_dir):
         ((F.lit(REFERENCE_YEAR) - F.col("release_year")) * 12).alias("months_since_release"),
         ((F.lit(REFERENCE_YEAR) - F.col("discontinued_year")) * 12).alias("months_since_discontinued"),
     )
+
+
+# ---------------------------------------------------- current price and genre
+@register("current_vs_genre", covers=("L13", "D6", "C4", "L14", "L19", "F8", "J3"),
+          oracle=lambda: V.with_views(f"""
+    SELECT i.item_id, i.genre, coalesce(i.publisher, 'Unknown') AS publisher,
+           c.current_real_price, g.genre_median_price,
+           CASE WHEN c.current_real_price IS NOT NULL AND g.genre_median_price > 0
+                THEN {rnd_sql('c.current_real_price / g.genre_median_price', 4)} END AS price_vs_genre
+    FROM items i
+    LEFT JOIN cur c ON i.item_id = c.item_id
+    LEFT JOIN (SELECT i2.genre, median(c2.current_real_price) AS genre_median_price
+               FROM items i2 JOIN cur c2 ON i2.item_id = c2.item_id
+               WHERE i2.genre IS NOT NULL GROUP BY i2.genre) g ON i.genre = g.genre""",
+    ("real_panel", _REAL_PANEL_SQL),
+    ("cur", f"""SELECT item_id, CASE WHEN r <> 0 THEN r END AS current_real_price FROM (
+                  SELECT item_id, {rnd_sql('arg_max(coalesce(real, 0.0), date)', 2)} AS r
+                  FROM real_panel WHERE date <= DATE '{V.CUTOFF}' GROUP BY item_id) x""")))
+def current_vs_genre(spark, sf_dir):
+    p = V.Panel(spark, sf_dir)
+    cur = latest_real_price(real_monthly_panel(p, V.CUTOFF), V.CUTOFF)
+    it = p.items.select("item_id", "genre", F.coalesce("publisher", F.lit("Unknown")).alias("publisher"))
+    with_cur = it.join(cur, "item_id", "left")
+    med = group_median(with_cur.where(F.col("genre").isNotNull()), ["genre"], "current_real_price",
+                       out="genre_median_price")
+    # one row per genre: a small dimension, joined by broadcast
+    out = with_cur.join(F.broadcast(med), "genre", "left")
+    return out.select(
+        "item_id", "genre", "publisher", "current_real_price", "genre_median_price",
+        F.when(F.col("current_real_price").isNotNull() & (F.col("genre_median_price") > 0),
+               rnd(F.col("current_real_price") / F.col("genre_median_price"), 4)).alias("price_vs_genre"))
+
+
+# ------------------------------------------------------------------- targets
+_TARGETS_SQL = f"""
+    SELECT item_id, strftime(date, '%Y-%m') AS month, {rnd_sql('real', 2)} AS real_price
+    FROM real_panel
+    WHERE price > 0 AND real IS NOT NULL
+      AND date >= DATE '{int(V.CUTOFF[:4]) + 1}-01-01' AND date <= DATE '{V.TEST_END}'
+      AND day(date) = 1"""
+
+
+@register("monthly_targets", covers=("L17", "K9", "I4", "C6", "B9"),
+          oracle=lambda: V.with_views("SELECT * FROM targets", ("real_panel", _REAL_PANEL_SQL),
+                                      ("targets", _TARGETS_SQL)))
+def monthly_targets_query(spark, sf_dir):
+    p = V.Panel(spark, sf_dir)
+    return monthly_targets(real_monthly_panel(p), V.CUTOFF, V.TEST_END)
+
+
+@register("target_summary", covers=("K10", "L17", "D15", "B9", "C6"),
+          oracle=lambda: V.with_views(f"""
+    SELECT coalesce(f.item_id, t.item_id) AS item_id, f.target_real_price, t.target_price FROM
+      (SELECT item_id, arg_min(real_price, month) AS target_real_price FROM targets GROUP BY item_id) f
+    FULL OUTER JOIN
+      (SELECT item_id, {rnd_sql('avg(real_y)', 2)} AS target_price FROM (
+          SELECT a.item_id, a.mean_price * (SELECT value FROM cpi WHERE year = {V.CPI_REF_YEAR}) / c.value AS real_y
+          FROM (SELECT item_id, CAST(year(date) AS INTEGER) AS y, avg(price) AS mean_price FROM panel_m
+                WHERE date > DATE '{V.CUTOFF}' AND date <= DATE '{V.TEST_END}' AND price > 0 GROUP BY 1, 2) a
+          ASOF JOIN cpi c ON a.y >= c.year) z
+       WHERE real_y IS NOT NULL GROUP BY item_id) t
+    ON f.item_id = t.item_id""", ("real_panel", _REAL_PANEL_SQL), ("targets", _TARGETS_SQL)))
+def target_summary(spark, sf_dir):
+    p = V.Panel(spark, sf_dir)
+    first = first_target(monthly_targets(real_monthly_panel(p), V.CUTOFF, V.TEST_END))
+    post = p.panel_m.where((F.col("date") > F.lit(V.CUTOFF).cast("date")) &
+                           (F.col("date") <= F.lit(V.TEST_END).cast("date")) & (F.col("price") > 0))
+    yearly = deflate(annual_means(post, None), p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_y")
+    tp = yearly.where(F.col("real_y").isNotNull()).groupBy("item_id").agg(rnd(F.avg("real_y"), 2).alias("target_price"))
+    return first.join(tp, "item_id", "full")
+
+
+YEAR_END_YEARS = (1999, 2000, 2001)
+
+
+@register("year_end_prices", covers=("D16", "C6"),
+          oracle=lambda: V.with_views(f"""
+    SELECT i.item_id, y.year,
+           {rnd_sql('ye.price * (SELECT value FROM cpi WHERE year = ' + str(V.CPI_REF_YEAR) + ') / c.value', 2)} AS year_end_price
+    FROM items i CROSS JOIN (VALUES {', '.join(f'({y})' for y in YEAR_END_YEARS)}) y(year)
+    LEFT JOIN (SELECT item_id, CAST(year(date) AS INTEGER) AS yr, arg_max(price, month(date)) AS price
+               FROM panel_m WHERE price > 0 AND month(date) IN (10, 11, 12) GROUP BY 1, 2) ye
+      ON ye.item_id = i.item_id AND ye.yr = y.year
+    ASOF LEFT JOIN cpi c ON y.year >= c.year"""))
+def year_end_prices(spark, sf_dir):
+    """December price, else November, else October, per requested year."""
+    p = V.Panel(spark, sf_dir)
+    q4 = p.panel_m.where((F.col("price") > 0) & F.month("date").isin(10, 11, 12))
+    ye = q4.groupBy("item_id", F.year("date").alias("year")).agg(F.max_by("price", F.month("date")).alias("price"))
+    ye = ye.where(F.col("year").isin(*YEAR_END_YEARS))
+    real = deflate(ye, p.cpi, V.CPI_REF_YEAR, "price", "year", out="real")
+    # every item gets one row per requested year: the year list is a fixed
+    # parameter, so the grid is items x len(years), generated by explode.
+    grid = p.items.select("item_id", F.explode(F.array(*[F.lit(y) for y in YEAR_END_YEARS])).alias("year"))
+    return grid.join(real, ["item_id", "year"], "left").select("item_id", "year", rnd("real", 2).alias("year_end_price"))
