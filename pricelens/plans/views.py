@@ -201,7 +201,11 @@ def with_views(body: str, *extra_ctes: tuple[str, str]) -> str:
     ctes = [(v, SQL_VIEWS[v]) for v in _VIEW_ORDER if v in needed] + list(extra_ctes)
     if not ctes:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
+    head = "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return head + ",\n" + stripped[5:]
+    return head + "\n" + body
 
 
 def _mentions(text: str, name: str) -> bool:
