@@ -77,7 +77,7 @@ def price_history(p: V.Panel):
     return build_price_history(points_with_seq(p), p.items, p.platform_dim)
 
 
-@register("price_history", covers=("D1", "B1", "B2", "F8", "K2", "H7", "C5", "D9"),
+@register("price_history", headline=True, covers=("D1", "B1", "B2", "F8", "K2", "H7", "C5", "D9"),
           oracle=lambda: V.with_views("SELECT * FROM hist", ("pts", _POINTS_SQL), ("hist", _HISTORY_SQL)))
 def price_history_query(spark, sf_dir):
     return price_history(V.Panel(spark, sf_dir))
@@ -101,7 +101,7 @@ _CLASSIFIED_SQL = f"""
     LEFT JOIN hist h ON i.item_id = h.item_id"""
 
 
-@register("quarantine", covers=("B3", "B4", "B5", "I9", "A14", "G1", "J9"),
+@register("quarantine", headline=True, covers=("B3", "B4", "B5", "I9", "A14", "G1", "J9"),
           oracle=lambda: V.with_views(f"""
     SELECT item_id, is_hardware, variant_type, variant_type <> 'standard' AS is_variant, release_year,
            price_record_count,

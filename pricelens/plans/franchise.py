@@ -26,7 +26,7 @@ _FRAN_SQL = """
     GROUP BY item_id"""
 
 
-@register("franchise_features", oracle=lambda: V.with_views(_FRAN_SQL),
+@register("franchise_features", headline=True, oracle=lambda: V.with_views(_FRAN_SQL),
           covers=("E1", "E2", "E3", "E4", "E5", "D7", "L16", "H5", "J8"))
 def franchise_query(spark, sf_dir):
     return franchise_features(V.Panel(spark, sf_dir).items)
@@ -54,7 +54,7 @@ _COMP_SQL = f"""
     FROM iu i"""
 
 
-@register("competition", covers=("C7", "C8", "F3", "L15", "J2", "J3"),
+@register("competition", headline=True, covers=("C7", "C8", "F3", "L15", "J2", "J3"),
           oracle=lambda: V.with_views(f"""
     SELECT c.*, CASE WHEN c.same_genre_same_platform_top_units_in_window > 0 AND iu.units_best IS NOT NULL
                       AND iu.units_best / c.same_genre_same_platform_top_units_in_window <> 0

@@ -126,7 +126,7 @@ _MATCH_SQL = f"""
     FROM items i LEFT JOIN m ON i.item_id = m.item_id"""
 
 
-@register("title_match", covers=("C9", "C10", "C11", "D9", "H2", "F1"),
+@register("title_match", headline=True, covers=("C9", "C10", "C11", "D9", "H2", "F1"),
           oracle=lambda: V.with_views(_MATCH_SQL, ("sales", _sales_cte())))
 def title_match(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
@@ -180,14 +180,14 @@ _CONTAIN_SQL = f"""
     FROM items i LEFT JOIN pick ON i.item_id = pick.item_id"""
 
 
-@register("containment_match", covers=("C12", "E11", "H1", "H3", "G4"),
+@register("containment_match", headline=True, covers=("C12", "E11", "H1", "H3", "G4"),
           oracle=lambda: V.with_views(_CONTAIN_SQL, ("meta", _META_SQL)))
 def containment_match_query(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
     return containment_match(p.items.select("item_id", "title", "platform"), metadata_catalog(p))
 
 
-@register("text_normalize", covers=("H1", "H2", "H3", "H10"),
+@register("text_normalize", headline=True, covers=("H1", "H2", "H3", "H10"),
           oracle=lambda: f"""
     SELECT doc_id, md5({folded_sql('text')}) AS folded_md5, md5({plain_sql('text')}) AS plain_md5,
            len({key_words_sql(folded_sql('text'))}) AS n_key_words

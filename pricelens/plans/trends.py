@@ -94,7 +94,7 @@ def market_index_query(spark, sf_dir):
     return m.select("year", rnd("market_index", 4).alias("market_index"))
 
 
-@register("price_vs_market", covers=("D8", "L11", "D5", "C6"),
+@register("price_vs_market", headline=True, covers=("D8", "L11", "D5", "C6"),
           oracle=lambda: V.with_views(
               f"""SELECT a.item_id, {rnd_sql('avg(a.real_price / m.mi)', 4)} AS price_vs_market_mean
                   FROM annual a JOIN (SELECT year, median(real_price) AS mi FROM annual
@@ -121,7 +121,7 @@ def yearly_trend_query(spark, sf_dir):
 REFERENCE_YEAR = V.CPI_REF_YEAR
 
 
-@register("release_prices", covers=("L8", "F5", "L9", "L10", "B11", "C5", "C6", "I7", "I3", "I6"),
+@register("release_prices", headline=True, covers=("L8", "F5", "L9", "L10", "B11", "C5", "C6", "I7", "I3", "I6"),
           oracle=lambda: V.with_views(f"""
     SELECT i.item_id, o12.v AS real_price_at_12m, o60.v AS real_price_at_60m,
            {rnd_sql('pm.real_msrp', 4)} AS real_msrp,
@@ -154,7 +154,7 @@ def release_prices(spark, sf_dir):
 
 
 # ---------------------------------------------------- current price and genre
-@register("current_vs_genre", covers=("L13", "D6", "C4", "L14", "L19", "F8", "J3"),
+@register("current_vs_genre", headline=True, covers=("L13", "D6", "C4", "L14", "L19", "F8", "J3"),
           oracle=lambda: V.with_views(f"""
     SELECT i.item_id, i.genre, coalesce(i.publisher, 'Unknown') AS publisher,
            c.current_real_price, g.genre_median_price,
