@@ -71,13 +71,15 @@ def valid_rerelease(release_dates, platforms, original_platform) -> Column:
 
 
 def release_year_for_platform(release_dates, platform_id) -> Column:
-    """Year of the first region-2 release on the platform, else the first on
-    the platform in any region."""
+    """Year of the first region-2 release on the platform, else of the first
+    release on the platform; a missing / zero date on the chosen entry gives
+    NULL."""
     rd = F.coalesce(_c(release_dates), F.array())
-    on_p = F.filter(rd, lambda r: (r["platform"] == _c(platform_id)) & r["date"].isNotNull() & (r["date"] != 0))
+    on_p = F.filter(rd, lambda r: r["platform"] == _c(platform_id))
     pref = F.filter(on_p, lambda r: r["region"] == 2)
-    pick = F.coalesce(F.try_element_at(pref, F.lit(1)), F.try_element_at(on_p, F.lit(1)))
-    return F.year(F.timestamp_seconds(pick["date"]))
+    pick = F.when(F.size(pref) > 0, F.try_element_at(pref, F.lit(1))).otherwise(F.try_element_at(on_p, F.lit(1)))
+    ts = pick["date"]
+    return F.when(ts.isNotNull() & (ts != 0), F.year(F.timestamp_seconds(ts)))
 
 
 def earliest_release_year(release_dates) -> Column:
