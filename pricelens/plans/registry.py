@@ -41,4 +41,4 @@ def all_queries() -> dict[str, Query]:
 
 def _load() -> None:
     # Importing the plan modules registers their queries.
-    from pricelens.plans import trends, cleaning, franchise, matching, ingest, documents, learning  # noqa: F401
+    from pricelens.plans import trends, cleaning, franchise, matching, ingest, documents, learning, forecast  # noqa: F401
