@@ -18,6 +18,18 @@ def drop_sentinels(points: DataFrame, condition: str = "condition") -> DataFrame
     return points.where(F.coalesce(~F.col(condition).isin(*SENTINEL_CONDITIONS), F.lit(True)))
 
 
+def canonical_daily(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
+                    key: str = "item_id", order: str = "seq") -> DataFrame:
+    """Canonical-condition points reduced to one price per (item, date): the
+    last point in ``order`` wins (map-side combined aggregate)."""
+    pts = drop_sentinels(points).dropna(subset=["date", "price", key])
+    canon = items.select(key, "platform").join(
+        F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform") \
+        .select(key, "canonical_condition")
+    pts = pts.join(canon, key).where(F.col("condition") == F.col("canonical_condition"))
+    return pts.groupBy(key, "date").agg(F.max_by(rnd2("price"), F.col(order)).alias("price"))
+
+
 def build_price_history(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
                         key: str = "item_id", order: str = "seq") -> DataFrame:
     """Per item with at least one valid point: canonical condition of its
