@@ -110,3 +110,29 @@ def first_in_order(df: DataFrame, keys: list[str], order: list) -> DataFrame:
                        *[F.col(c) for c in cols])
     best = df.groupBy(*keys).agg(F.min(ordered).alias("_best"))
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in cols])
+
+
+MATCH_RANK = {"exact": 0, "fuzzy": 1, "unmatched": 2}
+
+
+def resolve_duplicate_histories(df: DataFrame, min_records: int, key: str = "item_id",
+                                history: str = "price_history") -> DataFrame:
+    """Among rows with at least ``min_records`` points whose histories are
+    identical, keep the one lowest by (key, match rank, match score desc,
+    title length); the others get ``exclusion_reason =
+    'duplicate_price_history'``.  Decided per row.
+
+    Grouping is an aggregate on (hash, history) -> (size, best row), so a
+    history shared by very many rows is combined map-side."""
+    rank = F.coalesce(F.element_at(F.create_map(*[x for k, v in MATCH_RANK.items() for x in (F.lit(k), F.lit(v))]),
+                                   F.col("match_type")), F.lit(3))
+    order = F.struct(F.col(key).alias("k"), rank.alias("r"), (-F.coalesce(F.col("match_score"), F.lit(0.0))).alias("s"),
+                     F.length("title").alias("l"))
+    eligible = F.col(history).isNotNull() & (F.coalesce(F.col("price_record_count"), F.lit(0)) >= min_records)
+    tagged = df.withColumn("_h", F.when(eligible, F.xxhash64(history))).withColumn("_o", order)
+    groups = tagged.where(F.col("_h").isNotNull()).groupBy("_h", history).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_best"))
+    j = tagged.join(groups, ["_h", history], "left")
+    dup = (F.col("_n") > 1) & (F.col("_o") != F.col("_best"))
+    return j.withColumn("exclusion_reason", F.when(dup, F.lit("duplicate_price_history"))) \
+            .drop("_h", "_o", "_n", "_best")

@@ -164,3 +164,41 @@ def catalog_report(spark, sf_dir):
         F.avg(F.col("genre").isNotNull().cast("double")).alias("genre_rate"),
         F.countDistinct("publisher").alias("n_publishers"),
     ).orderBy(F.desc("n_items"))
+
+
+def _sales_sql():
+    from pricelens.plans.matching import _sales_cte
+    return _sales_cte()
+
+
+def _match_for_dup():
+    from pricelens.plans.matching import _MATCH_SQL
+    return _MATCH_SQL
+
+
+@register("duplicate_histories", covers=("D20", "H9", "F1"),
+          oracle=lambda: V.with_views(f"""
+    WITH m AS ({_match_for_dup()}),
+         t AS (SELECT h.item_id, h.price_history, h.price_record_count, i.title, m.match_type, m.match_score,
+                      struct_pack(k := h.item_id,
+                                  r := coalesce(CASE m.match_type WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1
+                                                WHEN 'unmatched' THEN 2 END, 3),
+                                  s := -coalesce(m.match_score, 0.0), l := length(i.title)) AS o
+               FROM hist h JOIN items i ON h.item_id = i.item_id LEFT JOIN m ON h.item_id = m.item_id),
+         g AS (SELECT price_history, count(*) AS n, min(o) AS best FROM t
+               WHERE price_history IS NOT NULL AND coalesce(price_record_count, 0) >= {V.MIN_RECORDS}
+               GROUP BY price_history)
+    SELECT t.item_id, CASE WHEN g.n > 1 AND t.o <> g.best THEN 'duplicate_price_history' END AS exclusion_reason
+    FROM t LEFT JOIN g ON t.price_history = g.price_history
+      AND t.price_history IS NOT NULL AND coalesce(t.price_record_count, 0) >= {V.MIN_RECORDS}""",
+    ("pts", _POINTS_SQL), ("hist", _HISTORY_SQL), ("sales", _sales_sql())))
+def duplicate_histories(spark, sf_dir):
+    """Rows whose price history duplicates another eligible row's."""
+    from pricelens.operators.cleaning import resolve_duplicate_histories
+    from pricelens.operators.matching import match_titles
+    from pricelens.plans.matching import sales_listing
+    p = V.Panel(spark, sf_dir)
+    m = match_titles(p.items.select("item_id", "title", "platform"), sales_listing(p))
+    df = price_history(p).join(p.items.select("item_id", "title"), "item_id") \
+        .join(m.select("item_id", "match_type", "match_score"), "item_id", "left")
+    return resolve_duplicate_histories(df, V.MIN_RECORDS).select("item_id", "exclusion_reason")
