@@ -144,12 +144,20 @@ def containment_match(left: DataFrame, right: DataFrame, left_key: str = "item_i
 
     # 3) general case: inverted index probed with a key-word prefix.  Every
     #    kept candidate overlaps A in >= ceil((threshold - slack)|A|) words,
-    #    so it shares a word with A's first |A| - t + 1 words (any order).
+    #    so it shares a word with A's first |A| - t + 1 words in any fixed
+    #    order; rarest-first (word frequency on the indexed side) keeps hot
+    #    words out of the probe, so candidate lists stay short.
     gen = rest.where(F.size("kw") > 0)
     lo = threshold - slack
     t = F.ceil(F.size("kw") * F.lit(lo) - F.lit(1e-9))
-    probe = gen.select(left_key, "platform", F.explode(F.slice(F.array_sort("kw"), 1, (F.size("kw") - t + 1).cast("int"))).alias("w"))
     index = R.select(right_key, "platform", F.explode("kw").alias("w"))
+    freq = index.groupBy("platform", "w").agg(F.count(F.lit(1)).alias("df"))
+    words = gen.select(left_key, "platform", F.explode("kw").alias("w"), (F.size("kw") - t + 1).alias("_p")) \
+               .join(freq, ["platform", "w"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = words.groupBy(left_key, "platform", "_p").agg(
+        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("_ws"))
+    probe = ranked.select(left_key, "platform", F.explode(F.slice("_ws", 1, F.col("_p").cast("int"))).alias("_x")) \
+                  .select(left_key, "platform", F.col("_x.w").alias("w"))
     pairs = probe.join(index, ["platform", "w"]).select(left_key, right_key).distinct()
     cand = (pairs.join(gen.select(left_key, F.col("kw").alias("a_kw")), left_key)
             .join(R.select(right_key, F.col("kw").alias("b_kw"), "rank"), right_key))

@@ -116,3 +116,20 @@ _RR_SQL = """
 def rerelease_summary_query(spark, sf_dir):
     docs = game_documents(V.Panel(spark, sf_dir))
     return rerelease_summary(docs, docs)
+
+
+@register("rerelease_labels", covers=("H11", "C13"),
+          oracle="""
+    WITH rr AS (""" + _RR_SQL + """)
+    SELECT id, coalesce(split_part(rerelease_names, '|', 1), upper(substr(rerelease_type, 1, 1)) || substr(rerelease_type, 2),
+                        'Re-release') || CASE WHEN rerelease_year IS NOT NULL THEN ' (' || CAST(rerelease_year AS VARCHAR) || ')' ELSE '' END
+           AS label
+    FROM rr WHERE rerelease_exists""")
+def rerelease_labels(spark, sf_dir):
+    """Display label of an item's re-release: first related name, else the
+    capitalised relation type, else 'Re-release', plus the year."""
+    from pricelens.functions.text import first_cap_label
+    docs = game_documents(V.Panel(spark, sf_dir))
+    s = rerelease_summary(docs, docs).where("rerelease_exists")
+    names = F.when(F.col("rerelease_names") != "", F.split("rerelease_names", r"\|"))
+    return s.select("id", first_cap_label(names, "rerelease_type", "rerelease_year").alias("label"))

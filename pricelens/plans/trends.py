@@ -246,3 +246,45 @@ def year_end_prices(spark, sf_dir):
     # parameter, so the grid is items x len(years), generated by explode.
     grid = p.items.select("item_id", F.explode(F.array(*[F.lit(y) for y in YEAR_END_YEARS])).alias("year"))
     return grid.join(real, ["item_id", "year"], "left").select("item_id", "year", rnd("real", 2).alias("year_end_price"))
+
+
+YEAR_OFFSETS = (0, 1, 2, 5)
+
+
+@register("price_at_year_offset", covers=("K12", "D2", "C6"),
+          oracle=lambda: V.with_views(f"""
+    SELECT i.item_id, o.off AS year_offset, {rnd_sql('a.real_price', 4)} AS real_price
+    FROM items i CROSS JOIN (VALUES {', '.join(f'({o})' for o in YEAR_OFFSETS)}) o(off)
+    LEFT JOIN (SELECT * FROM annual WHERE real_price IS NOT NULL) a
+      ON a.item_id = i.item_id AND a.year = i.release_year + o.off
+    WHERE i.release_year IS NOT NULL""", ("annual", _ANNUAL_SQL)))
+def price_at_year_offset(spark, sf_dir):
+    """Real annual price at release year + offset (equi-join on the target
+    year; the offsets are a fixed parameter list exploded per item)."""
+    p = V.Panel(spark, sf_dir)
+    a = annual_real(p).select("item_id", "year", "real_price")
+    it = p.items.where(F.col("release_year").isNotNull()).select(
+        "item_id", "release_year", F.explode(F.array(*[F.lit(o) for o in YEAR_OFFSETS])).alias("year_offset"))
+    it = it.withColumn("year", F.col("release_year") + F.col("year_offset"))
+    return it.join(a, ["item_id", "year"], "left").select("item_id", "year_offset", rnd("real_price", 4).alias("real_price"))
+
+
+@register("landed_dates", covers=("I1", "H7"),
+          oracle="""
+    SELECT l_partkey AS item_id, count(TRY_CAST(t AS DATE)) AS n_parsed, count(*) - count(TRY_CAST(t AS DATE)) AS n_rejected,
+           min(TRY_CAST(t AS DATE)) AS first_date
+    FROM (SELECT l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN strftime(l_shipdate, '%d/%m/%Y')
+                                 ELSE strftime(l_shipdate, '%Y-%m-%d') END AS t FROM lineitem) x
+    GROUP BY 1""")
+def landed_dates(spark, sf_dir):
+    """Coercing parse of landed text dates: text that is not an ISO date
+    becomes NULL instead of failing the job (landed text derived by Spark
+    from the ship dates, every third line in day/month/year form)."""
+    from pricelens.functions.dates import to_date_safe
+    li = V.Panel(spark, sf_dir).table("lineitem")
+    txt = F.when(F.col("l_linenumber") % 3 == 0, F.date_format("l_shipdate", "dd/MM/yyyy")) \
+           .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    d = li.select(F.col("l_partkey").alias("item_id"), to_date_safe(txt).alias("d"))
+    return d.groupBy("item_id").agg(F.count("d").alias("n_parsed"),
+                                    (F.count(F.lit(1)) - F.count("d")).alias("n_rejected"),
+                                    F.min("d").alias("first_date"))
