@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.numeric import rnd
 from pricelens.functions.text import containment_score, key_words, normalize_folded, normalize_plain
 from pricelens.operators.cleaning import first_in_order
+from pricelens.session import checkpoint
 
 MAX_VOCAB = 2_000_000   # bigram x occurrence vocabulary is bounded by alphabet^2 x title length
 
@@ -76,9 +77,11 @@ def match_titles(left: DataFrame, right: DataFrame, left_key: str = "item_id", r
     the matched right row.
     """
     payload = payload or []
-    L = left.select(left_key, "platform", normalize_plain(F.col("title")).alias("norm"))
+    # both sides feed several branches: materialise each once (reliable
+    # checkpoint in the shared folder) instead of recomputing its lineage
+    L = checkpoint(left.select(left_key, "platform", normalize_plain(F.col("title")).alias("norm")))
     R = right.select("platform", right_order, normalize_plain(F.col("title")).alias("norm"), *payload)
-    R = first_in_order(R, ["platform", "norm"], [right_order])       # one row per normalised title
+    R = checkpoint(first_in_order(R, ["platform", "norm"], [right_order]))   # one row per normalised title
 
     exact = L.join(R, ["platform", "norm"]).select(
         left_key, F.lit("exact").alias("match_type"), F.lit(100.0).alias("match_score"), *payload)
@@ -104,7 +107,7 @@ def match_titles(left: DataFrame, right: DataFrame, left_key: str = "item_id", r
                         rnd(F.col("_b._score"), 1).alias("match_score"),
                         *[F.col("_b")[c].alias(c) for c in payload])
     matched = exact.unionByName(fuzzy)
-    out = left.select(left_key).join(matched, left_key, "left")
+    out = L.select(left_key).join(matched, left_key, "left")
     return out.withColumn("match_type", F.coalesce("match_type", F.lit("unmatched")))
 
 
@@ -120,7 +123,7 @@ def containment_match(left: DataFrame, right: DataFrame, left_key: str = "item_i
     ``name, platform, category, year, year_lo, year_hi``.
     """
     L = left.select(left_key, "platform", normalize_folded(F.col("title")).alias("norm"))
-    L = L.withColumn("kw", key_words(F.col("norm")))
+    L = checkpoint(L.withColumn("kw", key_words(F.col("norm"))))
     rank = F.struct(
         F.when(F.coalesce(F.col("category"), F.lit(99)) == 0, 0).otherwise(1).alias("r_main"),
         F.when(F.col("year").between(F.col("year_lo"), F.col("year_hi")), 0).otherwise(1).alias("r_year"),
@@ -128,7 +131,7 @@ def containment_match(left: DataFrame, right: DataFrame, left_key: str = "item_i
         F.col(right_key).alias("rid"))
     R = right.select(right_key, "platform", normalize_folded(F.col("name")).alias("norm"),
                      rank.alias("rank"))
-    R = R.withColumn("kw", key_words(F.col("norm")))
+    R = checkpoint(R.withColumn("kw", key_words(F.col("norm"))))
 
     # 1) same normalised title: every candidate scores the same -> min rank
     bucket_best = R.groupBy("platform", "norm").agg(F.min("rank").alias("best"))
@@ -168,4 +171,4 @@ def containment_match(left: DataFrame, right: DataFrame, left_key: str = "item_i
         left_key, F.col("_m.rank.rid").alias("match_id"), F.col("_m.score").alias("match_score"))
 
     matched = in_bucket.unionByName(empty).unionByName(general)
-    return left.select(left_key).join(matched, left_key, "left")
+    return L.select(left_key).join(matched, left_key, "left")

@@ -30,6 +30,12 @@ def _key(name: str) -> str:
 
 
 def item_features(spark, sf_dir):
+    from pricelens.plans import views as V
+    with V.materialized(spark, sf_dir):
+        return _item_features(spark, sf_dir)
+
+
+def _item_features(spark, sf_dir):
     qs = all_queries()
     from pricelens.plans import views as V
     out = V.Panel(spark, sf_dir).items.select("item_id", "title", "platform", "release_year")

@@ -98,7 +98,8 @@ def _dec(c: str, d: int = 2):
 def item_index_query(spark, sf_dir):
     """The nested index rendered flat for checking: maps and arrays as
     ordered text (the export writes the nested form as JSON)."""
-    idx = item_index(V.Panel(spark, sf_dir))
+    with V.materialized(spark, sf_dir) as p:
+        idx = item_index(p)
     hm_t = F.array_join(F.transform(F.map_entries("hm"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("decimal(18,2)").cast("string"))), ",")
     ha_t = F.array_join(F.transform(F.map_entries("ha"), lambda e: F.concat(

@@ -19,6 +19,11 @@ from pricelens.plans.registry import register
 
 def real_monthly_panel(p: V.Panel, until: str | None = None):
     """Monthly panel deflated to reference-year money (as-of index lookup)."""
+    if p.materialize:
+        pm = p.panel_m
+        if until is not None:
+            pm = pm.where(F.col("date") <= F.lit(until).cast("date"))
+        return deflate(pm, p.cpi, V.CPI_REF_YEAR, "price", F.year("date"))
     pts = p.price_points
     if until is not None:
         # month_start(date) <= until  <=>  date < first day of the next month;

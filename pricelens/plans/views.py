@@ -103,17 +103,43 @@ def platform_dim(spark: SparkSession) -> DataFrame:
 
 
 class Panel:
-    """Lazily built views for one data directory."""
+    """Lazily built views for one data directory.
+
+    Inside ``with materialized(spark, sf_dir):`` every ``Panel(spark, sf_dir)``
+    is the same instance whose shared derived tables (items, units, monthly
+    panel) are computed once and reliably checkpointed into the shared
+    checkpoint folder, so a composite job scans and shuffles the raw tables
+    once instead of once per component.
+    """
+
+    _active: dict = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        inst = cls._active.get((spark.sparkContext.applicationId, sf_dir))
+        return inst if inst is not None else super().__new__(cls)
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        if getattr(self, "_ready", False):
+            return
         self.spark, self.sf_dir = spark, sf_dir
+        self.materialize = False
+        self._memo: dict = {}
+        self._ready = True
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def _shared(self, name: str, build) -> DataFrame:
+        if not self.materialize:
+            return build()
+        if name not in self._memo:
+            from pricelens.session import checkpoint
+            self._memo[name] = checkpoint(build())
+        return self._memo[name]
+
     @property
     def items(self) -> DataFrame:
-        return items(self.table("part"))
+        return self._shared("items", lambda: items(self.table("part")))
 
     @property
     def price_points(self) -> DataFrame:
@@ -121,11 +147,11 @@ class Panel:
 
     @property
     def panel_m(self) -> DataFrame:
-        return panel_monthly(self.price_points)
+        return self._shared("panel_m", lambda: panel_monthly(self.price_points))
 
     @property
     def units(self) -> DataFrame:
-        return units(self.table("lineitem"))
+        return self._shared("units", lambda: units(self.table("lineitem")))
 
     @property
     def cpi(self) -> DataFrame:
@@ -136,6 +162,27 @@ class Panel:
         return platform_dim(self.spark)
 
 
+class materialized:
+    """Context in which all Panel(spark, sf_dir) share materialised tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.key = (spark.sparkContext.applicationId, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.owner = False
+
+    def __enter__(self) -> Panel:
+        if self.key not in Panel._active:
+            p = Panel(self.spark, self.sf_dir)
+            p.materialize = True
+            Panel._active[self.key] = p
+            self.owner = True
+        return Panel._active[self.key]
+
+    def __exit__(self, *exc) -> None:
+        if self.owner:
+            Panel._active.pop(self.key, None)
+
+
 # ------------------------------------------------------------------ SQL side
 def _sql_list(vals) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in vals) + "]"
