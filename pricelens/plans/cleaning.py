@@ -144,9 +144,10 @@ def excluded_sample(spark, sf_dir):
     there are (a top-k report: the limit is the feature)."""
     c = classified(V.Panel(spark, sf_dir))
     ex = c.where(exclusion_reason(V.MIN_RECORDS).isNotNull())
-    w = Window.partitionBy("platform").orderBy("title", "item_id")
+    from pricelens.operators.topk import top_k_per_group
     counts = ex.groupBy("platform").agg(F.count(F.lit(1)).alias("n_excluded"))
-    top = ex.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE_SIZE)
+    top = top_k_per_group(ex.select("platform", "title", "item_id"), ["platform"], ["title", "item_id"],
+                          SAMPLE_SIZE, salt_key=["item_id"])
     return top.join(F.broadcast(counts), "platform").select(
         "platform", "title", (F.col("n_excluded") - SAMPLE_SIZE).alias("remainder"))
 
