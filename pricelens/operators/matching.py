@@ -23,7 +23,6 @@ from pricelens.functions.text import containment_score, key_words, normalize_fol
 from pricelens.operators.cleaning import first_in_order
 from pricelens.session import checkpoint
 
-MAX_VOCAB = 2_000_000   # bigram x occurrence vocabulary is bounded by alphabet^2 x title length
 
 
 # ------------------------------------------------------------ token helpers
@@ -52,7 +51,7 @@ def _prefix_tokens(df: DataFrame, id_col: str, text: str, order: DataFrame, pref
     """Rows (id, token) for the first ``prefix`` tokens of each text in the
     global order (rarest first)."""
     toks = df.select(id_col, "platform", F.explode(numbered_bigrams(F.col(text))).alias("token"))
-    ranked = toks.join(F.broadcast(order), "token", "left") \
+    ranked = toks.join(order, "token", "left") \
                  .withColumn("freq", F.coalesce("freq", F.lit(0)))
     lens = df.select(id_col, prefix.alias("_p"))
     per = ranked.groupBy(id_col, "platform").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))

@@ -89,11 +89,11 @@ def fit_target_encoding(train: DataFrame, cat: str, target: str) -> DataFrame:
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, cat: str, out: str,
                           global_mean: float | None = None) -> DataFrame:
     """Encoded value per row; unseen categories get the global mean.  The
-    encoding has one row per category (a dimension): broadcast."""
+    encoding has one row per category; AQE broadcasts it when small."""
     if global_mean is None:
         row = encoding.select("global_mean").first()
         global_mean = row[0] if row else None
-    j = df.join(F.broadcast(encoding.select(cat, "encoded")), cat, "left")
+    j = df.join(encoding.select(cat, "encoded"), cat, "left")
     return j.withColumn(out, F.coalesce(F.col("encoded"), F.lit(global_mean).cast("double"))).drop("encoded")
 
 

@@ -148,7 +148,7 @@ def excluded_sample(spark, sf_dir):
     counts = ex.groupBy("platform").agg(F.count(F.lit(1)).alias("n_excluded"))
     top = top_k_per_group(ex.select("platform", "title", "item_id"), ["platform"], ["title", "item_id"],
                           SAMPLE_SIZE, salt_key=["item_id"])
-    return top.join(F.broadcast(counts), "platform").select(
+    return top.join(counts, "platform").select(
         "platform", "title", (F.col("n_excluded") - SAMPLE_SIZE).alias("remainder"))
 
 

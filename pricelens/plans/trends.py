@@ -181,8 +181,9 @@ def current_vs_genre(spark, sf_dir):
     with_cur = it.join(cur, "item_id", "left")
     med = group_median(with_cur.where(F.col("genre").isNotNull()), ["genre"], "current_real_price",
                        out="genre_median_price")
-    # one row per genre: a small dimension, joined by broadcast
-    out = with_cur.join(F.broadcast(med), "genre", "left")
+    # one row per genre: AQE broadcasts it at run time when it is small and
+    # keeps a shuffle join otherwise (genres are data, not a fixed list)
+    out = with_cur.join(med, "genre", "left")
     return out.select(
         "item_id", "genre", "publisher", "current_real_price", "genre_median_price",
         F.when(F.col("current_real_price").isNotNull() & (F.col("genre_median_price") > 0),
