@@ -47,7 +47,9 @@ def fold_accents(t) -> Column:
 
 
 def _squash(t: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9 ]", " "), r" +", " "))
+    # one pass: every run of characters outside [a-z0-9] becomes one space
+    # (same result as "non [a-z0-9 ] -> space, then collapse spaces")
+    return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
 
 
 def normalize_folded(t) -> Column:
