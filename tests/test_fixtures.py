@@ -113,3 +113,35 @@ def test_nested(spark):
     rd = spark.createDataFrame([([(1000, 2, 21)], [21], 21)],
                                "rd array<struct<date:bigint,region:int,platform:int>>, pl array<bigint>, p int")
     assert rd.select(valid_rerelease("rd", "pl", "p").alias("v")).first().v is False
+
+
+def test_trend_projection_fixture(spark):
+    from pricelens.operators.forecast import trend_projection
+    pts = [(dt.date(y, 6, 1), v) for y, base in ((2020, 10.0), (2021, 12.0), (2022, 14.0))
+           for v in (base - 1, base, base + 1)]
+    df = spark.createDataFrame(pts, "date date, real double")
+    r = trend_projection(df, "2025-01-01", "2025-01-31").collect()
+    assert len(r) == 1 and approx(r[0].projection, 20.083333)
+
+
+def test_band_and_confidence(spark):
+    from pricelens.functions.numeric import confidence_pct
+    from pricelens.operators.forecast import price_band
+    df = spark.createDataFrame([(100.0, 0.02, -0.03, 0.05, 4)], "p double, d double, lo double, hi double, m int")
+    low, mid, high = price_band(F.col("p"), F.col("d"), F.col("lo"), F.col("hi"), F.col("m"))
+    r = df.select(low.alias("l"), mid.alias("m"), high.alias("h")).first()
+    assert approx(r.m, 102.020134) and approx(r.l, 94.176453) and approx(r.h, 110.517092)
+    c = spark.createDataFrame([(9.0, 12.0, 15.0), (19.0, 18.0, 21.0), (35.0, 40.0, 45.0)], "l double, m double, h double")
+    got = [r.c for r in c.select(confidence_pct(F.col("h") - F.col("l"), F.col("m")).alias("c")).collect()]
+    assert got == [75.0, 94.4, 87.5]
+
+
+def test_metrics_fixture(spark):
+    from pricelens.operators.forecast import horizon_metrics
+    rows = [(1, 10.0, 12.0, 9.0, 15.0, None), (2, 20.0, 18.0, 19.0, 21.0, None), (3, 40.0, 40.0, 35.0, 45.0, None)]
+    df = spark.createDataFrame(rows, "months_ahead int, actual_price double, prediction double, lower_bound double, "
+                                     "upper_bound double, last_known_price double")
+    m = horizon_metrics(df, {"h": (1, 12)}, min_rows=1).first()
+    assert approx(m.rmse, 1.63, 1e-9) and approx(m.r2, 0.983, 1e-9) and approx(m.mape_pct, 10.0)
+    assert m.interval_coverage_80 == 1.0 and m.catalog_coverage_50pct == 1.0 and m.directional_accuracy is None
+    assert horizon_metrics(df, {"h": (1, 12)}).count() == 0        # fewer than 10 rows -> no report
