@@ -18,42 +18,38 @@ def drop_sentinels(points: DataFrame, condition: str = "condition") -> DataFrame
     return points.where(F.coalesce(~F.col(condition).isin(*SENTINEL_CONDITIONS), F.lit(True)))
 
 
-def canonical_daily(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
+def per_date_points(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
                     key: str = "item_id", order: str = "seq") -> DataFrame:
-    """Canonical-condition points reduced to one price per (item, date): the
-    last point in ``order`` wins (map-side combined aggregate)."""
-    pts = drop_sentinels(points).dropna(subset=["date", "price", key])
-    canon = items.select(key, "platform").join(
-        F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform") \
-        .select(key, "canonical_condition")
-    pts = pts.join(canon, key).where(F.col("condition") == F.col("canonical_condition"))
-    return pts.groupBy(key, "date").agg(F.max_by(rnd2("price"), F.col(order)).alias("price"))
-
-
-def build_price_history(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
-                        key: str = "item_id", order: str = "seq") -> DataFrame:
-    """Per item with at least one valid point: canonical condition of its
-    platform, number of canonical points, and the date -> price history of
-    canonical points (one value per date: the last point in ``order`` wins,
-    every point is counted).  Items without canonical points get count 0 and
-    an empty history.
-
-    Points are first reduced to one row per (item, date) with a map-side
-    combine, so the per-item history is bounded by the number of calendar
-    dates, whatever the number of raw rows of a hot item.
-    """
+    """One row per (item, date) with any valid point: the platform's
+    canonical condition, the number of canonical points ``n`` and the price
+    of the last canonical point in ``order`` (map-side combined aggregate,
+    so a hot item is reduced before the shuffle)."""
     pts = drop_sentinels(points).dropna(subset=["date", "price", key])
     canon = items.select(key, "platform").join(
         F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform", "left") \
         .select(key, "canonical_condition")
     pts = pts.join(canon, key, "left")
     is_canon = F.coalesce(F.col("condition") == F.col("canonical_condition"), F.lit(False))
-    per_date = pts.groupBy(key, "canonical_condition", "date").agg(
-        F.count_if(is_canon).alias("_n"),
+    return pts.groupBy(key, "canonical_condition", "date").agg(
+        F.count_if(is_canon).alias("n"),
         F.max_by(F.when(is_canon, rnd2("price")), F.when(is_canon, F.col(order))).alias("price"))
-    has = F.col("_n") > 0
+
+
+def canonical_daily(per_date: DataFrame, key: str = "item_id") -> DataFrame:
+    """Canonical-condition price per (item, date)."""
+    return per_date.where(F.col("n") > 0).select(key, "date", "price")
+
+
+def build_price_history(per_date: DataFrame, key: str = "item_id") -> DataFrame:
+    """Per item with at least one valid point: canonical condition of its
+    platform, number of canonical points, and the date -> price history of
+    canonical points (one value per date, every point counted).  Items
+    without canonical points get count 0 and an empty history.  The history
+    is bounded by the number of calendar dates, whatever the number of raw
+    rows of a hot item."""
+    has = F.col("n") > 0
     return per_date.groupBy(key, "canonical_condition").agg(
-        F.sum("_n").alias("price_record_count"),
+        F.sum("n").alias("price_record_count"),
         F.count_if(has).alias("history_dates"),
         F.min(F.when(has, F.col("date"))).alias("first_date"),
         F.max(F.when(has, F.col("date"))).alias("last_date"),

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.functions.text import HARDWARE_PATTERNS, VARIANT_RULES
 from pricelens.operators.cleaning import (
-    SENTINEL_CONDITIONS, build_price_history, classify_items, exclusion_reason, hardware_breakdown)
+    SENTINEL_CONDITIONS, build_price_history, classify_items, exclusion_reason, hardware_breakdown, per_date_points)
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
 
@@ -73,8 +73,13 @@ def points_with_seq(p: V.Panel):
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"))
 
 
+def per_date(p: V.Panel):
+    """Canonical per-(item, date) table, shared by history and index."""
+    return p._shared("per_date", lambda: per_date_points(points_with_seq(p), p.items, p.platform_dim))
+
+
 def price_history(p: V.Panel):
-    return build_price_history(points_with_seq(p), p.items, p.platform_dim)
+    return build_price_history(per_date(p))
 
 
 @register("price_history", headline=True, covers=("D1", "B1", "B2", "F8", "K2", "H7", "C5", "D9"),

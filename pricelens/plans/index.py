@@ -10,7 +10,7 @@ from pricelens.operators.cleaning import canonical_daily
 from pricelens.operators.index import annual_history, forecast_arrays, monthly_history, resolve_names
 from pricelens.operators.documents import rerelease_summary
 from pricelens.plans import views as V
-from pricelens.plans.cleaning import _HISTORY_SQL, _POINTS_SQL, points_with_seq, price_history
+from pricelens.plans.cleaning import _HISTORY_SQL, _POINTS_SQL, per_date, price_history
 from pricelens.plans.documents import _RR_SQL, game_documents
 from pricelens.plans.forecast import _FC_CTES, _SCORED_SQL, scored_forecast
 from pricelens.plans.registry import register
@@ -20,7 +20,7 @@ from pricelens.plans.trends import _TARGETS_SQL
 def item_index(p: V.Panel):
     """Nested per-item index: attributes, monthly / annual history maps,
     ordered forecast entries and resolved re-release names."""
-    daily = canonical_daily(points_with_seq(p), p.items, p.platform_dim)
+    daily = canonical_daily(per_date(p))
     hm = monthly_history(daily, V.YEAR_FLOOR)
     ha = annual_history(hm)
     hm_map = hm.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "price")))).alias("hm"))
