@@ -21,14 +21,35 @@ BASE_CONF = {
 }
 
 
+# Sizing for a large cluster (~1000 executors, ~100 TB of input): many
+# initial shuffle partitions that AQE coalesces to ~256 MB each, scan splits
+# of 256 MB, skewed partitions split when > 5x the median and > 1 GB, and
+# broadcast joins only below 64 MB at run time (AQE falls back to sort-merge
+# joins beyond that).
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_session(master: str | None = None, app: str = "pricelens",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with the library's base settings."""
+                extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Return (or create) a session with the library's base settings
+    (``cluster=True`` adds the large-cluster sizing above)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
