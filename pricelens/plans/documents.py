@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricelens.functions.nested import ESRB_LABELS
+from pricelens.functions.numeric import rnd
 from pricelens.operators.documents import flatten_documents, rerelease_summary
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
@@ -43,7 +44,7 @@ def game_documents(p: V.Panel):
             F.struct(epoch(y1 + 1, 9, 1).alias("date"), F.lit(2).alias("region"), pid.alias("platform"))))
          .otherwise(F.array(F.struct(epoch(y1, 3, 15).alias("date"), F.lit(1).alias("region"), pid.alias("platform"))))
          .alias("release_dates"),
-        F.round(F.col("p_retailprice") / 30, 2).alias("rating"), (s * 2.0).alias("aggregated_rating"),
+        rnd(F.col("p_retailprice") / 30, 2).alias("rating"), (s * 2.0).alias("aggregated_rating"),
         s.cast("int").alias("aggregated_rating_count"),
         F.when(k % 3 == 0, ids(pid, F.pmod(pid, F.lit(7)) + 1)).otherwise(ids(pid)).alias("platforms"),
         F.when((k % 6 == 0) | (k % 6 == 3), ids(k + 1)).otherwise(empty).alias("remakes"),
@@ -63,10 +64,10 @@ _FLAT_SQL = f"""
            CASE p_size % 9 {_LABELS} END AS esrb,
            CAST(1990 + p_size % 12 + CASE WHEN p_partkey % 4 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS release_year,
            CAST(p_size // 10 AS VARCHAR) AS franchise_ids, 'S' || CAST(p_size // 10 AS VARCHAR) AS franchise_names,
-           p_size * 2.0 AS critic_score, round(p_retailprice / 30, 2) AS user_score,
+           p_size * 2.0 AS critic_score, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS user_score,
            CAST(p_size AS INTEGER) AS rating_count,
-           CASE WHEN p_size * 2.0 <> 0 AND round(p_retailprice / 30, 2) <> 0
-                THEN CAST(floor((p_size * 2.0 - round(p_retailprice / 30, 2)) * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) END
+           CASE WHEN p_size * 2.0 <> 0 AND CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) <> 0
+                THEN CAST(floor((p_size * 2.0 - CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE)) * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) END
              AS critic_user_score_delta,
            CAST(p_size % 3 AS INTEGER) AS category,
            CASE WHEN p_partkey % 6 IN (0, 3) THEN 'remake' WHEN p_partkey % 6 = 1 THEN 'remaster'
@@ -93,7 +94,7 @@ _RR_SQL = """
         SELECT p_partkey AS rid, p_name || ' ' || p_brand AS name, p_partkey % 4 <> 0 AS has_r2,
                CASE WHEN p_partkey % 3 = 0 THEN [p_partkey % 7 + 1, (p_partkey % 7 + 1) % 7 + 1]
                     ELSE [p_partkey % 7 + 1] END AS plats,
-               p_size * 2.0 AS critic, round(p_retailprice / 30, 2) AS usr, CAST(p_size AS INTEGER) AS cnt,
+               p_size * 2.0 AS critic, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS usr, CAST(p_size AS INTEGER) AS cnt,
                CAST(1990 + p_size % 12 AS INTEGER) AS year
         FROM part),
     v AS (SELECT rel.*, det.* EXCLUDE (rid) FROM rel JOIN det ON rel.rid = det.rid
