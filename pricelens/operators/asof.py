@@ -39,7 +39,20 @@ def _dense_from_index(spark, idx: dict, ref_year: int) -> DataFrame:
     return spark.createDataFrame(out, "year int, factor double, last_year int")
 
 
+_INDEX_MEMO: dict = {}
+_FACTOR_MEMO: dict = {}
+
+
 def _collect_index(cpi: DataFrame, year_col: str = "year", value_col: str = "value") -> dict:
+    """The index as {year: value}; memoised per session and plan (equal
+    plans over the same data give equal indexes)."""
+    key = (cpi.sparkSession.sparkContext.applicationId, cpi.semanticHash(), year_col, value_col)
+    if key not in _INDEX_MEMO:
+        _INDEX_MEMO[key] = _read_index(cpi, year_col, value_col)
+    return _INDEX_MEMO[key]
+
+
+def _read_index(cpi: DataFrame, year_col: str, value_col: str) -> dict:
     rows = cpi.select(F.col(year_col).cast("int").alias("y"), F.col(value_col).cast("double").alias("v")) \
               .where(F.col("y").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")) \
               .limit(MAX_INDEX_ROWS + 1).collect()
@@ -59,7 +72,10 @@ def deflate(df: DataFrame, cpi: DataFrame, ref_year: int, value: str, year: Colu
     year or without a reference value; ``'nominal'`` keeps the nominal value.
     """
     idx = _collect_index(cpi)
-    fac = _dense_from_index(cpi.sparkSession, idx, ref_year)
+    fkey = (cpi.sparkSession.sparkContext.applicationId, cpi.semanticHash(), ref_year)
+    if fkey not in _FACTOR_MEMO:
+        _FACTOR_MEMO[fkey] = _dense_from_index(cpi.sparkSession, idx, ref_year)
+    fac = _FACTOR_MEMO[fkey]
     hi = max(idx) if idx else None
     ycol = F.col(year) if isinstance(year, str) else year
     key = F.least(ycol, F.lit(hi)) if hi is not None else F.lit(None).cast("int")

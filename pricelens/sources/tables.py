@@ -16,10 +16,17 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_RELATIONS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one parquet table.  Projection and filters applied later are pushed
-    into the scan by Catalyst (``ReadSchema`` / ``PushedFilters``)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    into the scan by Catalyst (``ReadSchema`` / ``PushedFilters``).  The
+    relation (with its file listing) is reused within a session."""
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    if key not in _RELATIONS:
+        _RELATIONS[key] = spark.read.parquet(table_path(sf_dir, name))
+    return _RELATIONS[key]
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
