@@ -24,7 +24,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = get_session(f"local[{cpus}]", app="pricelens-bench", shuffle_partitions=cpus * 2,
+    spark = get_session(f"local[{cpus}]", app="pricelens-bench", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)),
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
     qs = all_queries()
     names = only or [n for n, q in qs.items() if q.headline]
