@@ -24,7 +24,7 @@ def per_date_points(points: DataFrame, items: DataFrame, platform_dim: DataFrame
     canonical condition, the number of canonical points ``n`` and the price
     of the last canonical point in ``order`` (map-side combined aggregate,
     so a hot item is reduced before the shuffle)."""
-    pts = drop_sentinels(points).dropna(subset=["date", "price", key])
+    pts = drop_sentinels(points).dropna(subset=["date", "price", key])      # dropna also drops NaN
     canon = items.select(key, "platform").join(
         F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform", "left") \
         .select(key, "canonical_condition")

@@ -69,7 +69,8 @@ def price_points(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_partkey").alias("item_id"),
         F.col("l_shipdate").cast("date").alias("date"),
-        rnd(F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"),
+        rnd(F.when((F.col("l_quantity") > 0) & ~F.isnan("l_quantity") & ~F.isnan("l_extendedprice"),
+                   F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"),
         F.col("l_returnflag").alias("condition"),
     )
 
@@ -227,7 +228,8 @@ SQL_VIEWS = {
     "price_points": f"""
         SELECT l_partkey AS item_id,
                CAST(l_shipdate AS DATE) AS date,
-               {rnd_sql("CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END", 2)} AS price,
+               {rnd_sql("CASE WHEN l_quantity > 0 AND NOT isnan(l_quantity) AND NOT isnan(l_extendedprice) "
+                        "THEN l_extendedprice / l_quantity END", 2)} AS price,
                l_returnflag AS condition
         FROM lineitem""",
     "panel_m": f"""
