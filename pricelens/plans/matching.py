@@ -30,8 +30,13 @@ def _platform_expr():
     return F.element_at(F.array(*[F.lit(p) for p in V.PLATFORMS]), (F.pmod("p_partkey", F.lit(7)) + 1).cast("int"))
 
 
-def sales_listing(p: V.Panel):
-    """Landed sales rows: title, relative/absolute URL, platform, unit texts."""
+SALES_PAGE_ROWS = 200
+
+
+def sales_pages(p: V.Panel):
+    """Landed sales-table pages: per platform, at most 200 listing rows a page
+    inside the results container, plus a header row, a short row, a row whose
+    link is not a game page and a row without title (all to be skipped)."""
     part = p.table("part")
     u = p.units
     j = part.join(u, part.p_partkey == u.item_id, "left")
@@ -44,15 +49,32 @@ def sales_listing(p: V.Panel):
         F.concat(rnd(F.col("units_na") / 1000.0, 2).cast("decimal(18,2)").cast("string"), F.lit("m")))
     href = F.when(k % 2 == 0, F.concat(F.lit("/game/"), k.cast("string"), F.lit("/"))) \
             .otherwise(F.concat(F.lit(SALES_BASE_URL + "/game/"), k.cast("string"), F.lit("/")))
-    rows = j.where(k % 3 != 2).select(
-        title.alias("title"), href.alias("href"), _platform_expr().alias("platform"),
-        glob.alias("units_global_text"), na.alias("units_na_text"), k.alias("seq"))
-    return rows.select(
-        "title", "platform", "seq",
-        F.when(F.col("href").startswith("http"), F.col("href"))
-         .otherwise(F.concat(F.lit(SALES_BASE_URL), F.col("href"))).alias("sales_url"),
-        parse_units(F.col("units_global_text")).alias("units_global_m"),
-        parse_units(F.col("units_na_text")).alias("units_na_m"))
+
+    def td(x):
+        return F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), td(k.cast("string")), td(F.lit('<img src="/b.png">')),
+                   td(F.concat(F.lit('<a href="'), href, F.lit('">'), title, F.lit("</a>"))),
+                   td(F.lit("Publisher")), td(F.lit("-")), td(glob), td(na), td(F.lit("01st Jan 01")), F.lit("</tr>"))
+    listed = j.where(k % 3 != 2).select(_platform_expr().alias("console"),
+                                        (k / (7 * SALES_PAGE_ROWS)).cast("bigint").alias("page"), k.alias("seq"), row.alias("row"))
+    pages = listed.groupBy("console", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "row"))).alias("rows"))
+    skipped = ("<tr><th>Pos</th><th>Game</th></tr>"
+               "<tr><td>1</td><td>2</td><td><a href=\"/game/x/\">short</a></td></tr>"
+               "<tr><td>1</td><td></td><td><a href=\"/news/1/\">Not a game</a></td><td></td><td></td><td>1.0m</td><td></td><td></td></tr>"
+               "<tr><td>1</td><td></td><td><a href=\"/game/2/\"> </a></td><td></td><td></td><td>1.0m</td><td></td><td></td></tr>")
+    html = F.concat(F.lit('<html><body><div id="nav"><table><tr><td>menu</td></tr></table></div>'
+                          '<div id="generalBody"><table>' + skipped),
+                    F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table></div></body></html>"))
+    return pages.select("console", "page", html.alias("html"))
+
+
+def sales_listing(p: V.Panel):
+    """Sales rows parsed from the landed pages, with their listing order."""
+    from pricelens.sources.landed import sales_table_rows
+    rows = sales_table_rows(sales_pages(p), base_url=SALES_BASE_URL)
+    seq = F.regexp_extract("sales_url", r"/game/(\d+)/", 1).cast("bigint")
+    return rows.select("title", F.col("console").alias("platform"), seq.alias("seq"), "sales_url",
+                       "units_global_m", "units_na_m")
 
 
 _SALES_SQL = f"""
@@ -98,7 +120,7 @@ def _sales_cte():
     return _SALES_SQL.replace("{units_g}", units_sql("ug")).replace("{units_n}", units_sql("un"))
 
 
-@register("sales_listing", covers=("A7", "H4", "H6"),
+@register("sales_listing", covers=("A7", "H4", "H6", "H10"),
           oracle=lambda: V.with_views("SELECT * FROM sales", ("sales", _sales_cte())))
 def sales_listing_query(spark, sf_dir):
     return sales_listing(V.Panel(spark, sf_dir))

@@ -114,3 +114,31 @@ def catalog_rows(pages: DataFrame, json_col: str = "body", console: str = "conso
     p = doc.select(console, F.explode("_d.products").alias("_p"))
     return p.select(F.col("_p.productName").alias("title"), F.col(console).alias("console"),
                     F.concat(F.lit(base_url), F.col("_p.consoleUri"), F.lit("/"), F.col("_p.productUri")).alias("url"))
+
+
+def _cell_text(cell):
+    """Text of an HTML fragment: tags removed, whitespace trimmed."""
+    return F.trim(F.regexp_replace(cell, r"<[^>]+>", ""))
+
+
+def sales_table_rows(pages: DataFrame, html: str = "html", console: str = "console",
+                     base_url: str = "https://sales.example.org", container: str = "generalBody",
+                     min_cells: int = 8) -> DataFrame:
+    """Rows of the sales table inside ``<div id="<container>">``: rows with at
+    least ``min_cells`` cells whose 3rd cell links to a ``/game/`` page;
+    relative links are made absolute, rows without a title are skipped; the
+    6th and 7th cells are unit texts (global, north america)."""
+    body = F.regexp_extract(F.col(html), rf'(?s)<div id="{container}">(.*)</div>', 1)
+    trs = pages.select(console, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("_tr"))
+    cells = trs.select(console, F.regexp_extract_all("_tr", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("_td"))
+    cells = cells.where(F.size("_td") >= min_cells)
+    link = F.col("_td")[2]
+    href = F.regexp_extract(link, r'<a[^>]*href="([^"]*)"', 1)
+    title = _cell_text(F.regexp_extract(link, r"(?s)<a[^>]*>(.*?)</a>", 1))
+    rows = cells.select(console, href.alias("_href"), title.alias("title"),
+                        _cell_text(F.col("_td")[5]).alias("_g"), _cell_text(F.col("_td")[6]).alias("_na"))
+    rows = rows.where(F.col("_href").contains("/game/") & (F.col("title") != ""))
+    from pricelens.functions.text import parse_units
+    url = F.when(F.col("_href").startswith("http"), F.col("_href")).otherwise(F.concat(F.lit(base_url), F.col("_href")))
+    return rows.select("title", url.alias("sales_url"), F.col(console).alias("console"),
+                       parse_units(F.col("_g")).alias("units_global_m"), parse_units(F.col("_na")).alias("units_na_m"))
