@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.functions.text import HARDWARE_PATTERNS, VARIANT_RULES

@@ -96,7 +96,6 @@ PAGE_SIZE = 150
 
 def catalog_pages(p: V.Panel):
     """Landed catalog API pages: per platform, at most 150 products a page."""
-    part = p.table("part")
     it = p.items.select("item_id", "title", "platform")
     uri = F.lower(F.regexp_replace("platform", " ", "-"))
     prod = F.concat(F.lower(F.regexp_replace(F.regexp_replace("title", "#", ""), " ", "-")), F.lit("-"),
@@ -106,7 +105,6 @@ def catalog_pages(p: V.Panel):
     g = it.groupBy("platform", page.alias("page")).agg(
         F.collect_list(F.struct(F.col("title").alias("productName"), uri.alias("consoleUri"),
                                 prod.alias("productUri"))).alias("products"))
-    del part
     return g.select(F.col("platform").alias("console"),
                     F.to_json(F.struct("products", F.col("page").cast("string").alias("cursor"))).alias("body"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.functions.text import (
-    STOP_WORDS, key_words, normalize_folded, normalize_plain, parse_units, UNIT_NULL_TEXTS)
+    STOP_WORDS, key_words, normalize_folded, normalize_plain, UNIT_NULL_TEXTS)
 from pricelens.operators.matching import containment_match, match_titles
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
