@@ -40,7 +40,8 @@ def chart_pages(p: V.Panel):
     # (order, line, part, ship date) identifies a line; order and line alone do not
     page_id = F.concat_ws("-", k.cast("string"), ln.cast("string"), F.col("l_partkey").cast("string"),
                           F.date_format("l_shipdate", "yyyyMMdd"))
-    return li.select(page_id.alias("page_id"), F.col("l_shipdate").cast("date").alias("landed"),
+    return li.select(page_id.alias("page_id"), F.col("l_partkey").alias("item_id"),
+                     F.col("l_shipdate").cast("date").alias("landed"),
                      F.when(fetch_error, 500).otherwise(200).alias("http_status"), html.alias("html"))
 
 
@@ -48,8 +49,8 @@ _PAGE_ID = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)
             "CAST(l_partkey AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m%d')")
 _CENTS = rnd_sql("CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity * 100 END", 0)
 _CHART_ROWS_SQL = f"""
-    SELECT page_id, condition, date, price_usd FROM (
-      SELECT {_PAGE_ID} AS page_id, CAST(l_shipdate AS DATE) AS date,
+    SELECT page_id, item_id, condition, date, price_usd FROM (
+      SELECT {_PAGE_ID} AS page_id, l_partkey AS item_id, CAST(l_shipdate AS DATE) AS date,
              CAST({_CENTS} AS BIGINT) AS cents, l_orderkey, l_linenumber
       FROM lineitem) s,
       LATERAL (SELECT 'loose' AS condition, {rnd_sql('s.cents / 100.0', 2)} AS price_usd WHERE s.cents > 0
@@ -58,10 +59,23 @@ _CHART_ROWS_SQL = f"""
       AND NOT (l_linenumber = 5 AND l_orderkey % 4 = 0)"""
 
 
-@register("chart_ingest", covers=("A6", "K3", "J1", "I2", "B6", "B10", "C5"),
-          oracle=_CHART_ROWS_SQL)
+def price_point_rows(points, p: V.Panel):
+    """Parsed points in the price-history schema: an (unknown) metadata id as
+    a typed NULL column, title and console of the item, the page as URL."""
+    it = p.items.select("item_id", "title", F.col("platform").alias("console"))
+    return points.join(it, "item_id", "left").select(
+        F.lit(None).cast("bigint").alias("igdb_id"), "title", "console", "condition", "date", "price_usd",
+        F.col("page_id").alias("pc_url"))
+
+
+@register("chart_ingest", covers=("A6", "K3", "J1", "I2", "B6", "B10", "C5", "A2"),
+          oracle=lambda: V.with_views(f"""
+    SELECT CAST(NULL AS BIGINT) AS igdb_id, i.title, i.platform AS console, r.condition, r.date, r.price_usd,
+           r.page_id AS pc_url
+    FROM ({_CHART_ROWS_SQL}) r LEFT JOIN items i ON r.item_id = i.item_id"""))
 def chart_ingest(spark, sf_dir):
-    return chart_points(chart_pages(V.Panel(spark, sf_dir)))
+    p = V.Panel(spark, sf_dir)
+    return price_point_rows(chart_points(chart_pages(p), extra=["item_id"]), p)
 
 
 @register("ingest_status", covers=("A12",),
@@ -81,7 +95,8 @@ def remaining_work(todo, done, key: str):
 
 
 @register("ingest_resume", covers=("A11", "C18", "A10"),
-          oracle=f"SELECT * FROM ({_CHART_ROWS_SQL}) r WHERE date >= DATE '{RUN1_BEFORE}'")
+          oracle=f"SELECT page_id, condition, date, price_usd FROM ({_CHART_ROWS_SQL}) r "
+                 f"WHERE date >= DATE '{RUN1_BEFORE}'")
 def ingest_resume(spark, sf_dir):
     """Second run of an incremental ingest: pages already present in the first
     run's output are skipped (failed pages are retried), only new points are

@@ -76,18 +76,21 @@ def condition_dim(spark) -> DataFrame:
     return spark.createDataFrame(list(CONDITION_MAP.items()), "chart_key string, condition string")
 
 
-def chart_points(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per valid (condition, date, price) point of every page.
+def chart_points(pages: DataFrame, key: str = "page_id", html: str = "html",
+                 extra: list[str] | None = None) -> DataFrame:
+    """One row per valid (condition, date, price) point of every page
+    (``extra`` page columns are carried along).
 
     Entries must be ``[epoch_ms, cents]`` pairs with a positive price; series
     keys outside the condition dimension are ignored.
     """
-    charts = pages.select(key, extract_chart(F.col(html)).alias("_chart"))
-    series = charts.select(key, F.explode("_chart").alias("chart_key", "_series"))
+    extra = extra or []
+    charts = pages.select(key, *extra, extract_chart(F.col(html)).alias("_chart"))
+    series = charts.select(key, *extra, F.explode("_chart").alias("chart_key", "_series"))
     series = series.join(F.broadcast(condition_dim(pages.sparkSession)), "chart_key")
-    pts = series.select(key, "condition", F.explode("_series").alias("_e")).where(F.size("_e") == 2)
+    pts = series.select(key, *extra, "condition", F.explode("_series").alias("_e")).where(F.size("_e") == 2)
     pts = pts.where(F.col("_e")[1].isNotNull() & (F.col("_e")[1] > 0))
-    return pts.select(key, "condition", epoch_ms_to_date(F.col("_e")[0]).alias("date"),
+    return pts.select(key, *extra, "condition", epoch_ms_to_date(F.col("_e")[0]).alias("date"),
                       cents_to_dollars(F.col("_e")[1]).alias("price_usd"))
 
 
