@@ -22,17 +22,10 @@ def test_flagship_plan_shape(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_no_row_python_udfs_in_sql_queries(spark):
-    for name, q in all_queries().items():
-        if q.oracle is None:
-            continue
-        plan = _plan(q.build(spark, SF))
-        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
-
-
-def test_no_cross_joins_anywhere(spark):
+def test_no_cross_joins_or_row_udfs(spark):
     for name, q in all_queries().items():
         if q.oracle is None:
             continue
         plan = _plan(q.build(spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
