@@ -21,7 +21,7 @@ def annual_means(panel: DataFrame, cutoff: str | None, key: str = "item_id",
 
 def market_index(annual_real: DataFrame, value: str = "real_price") -> DataFrame:
     """Median over items of the annual real price, per year."""
-    return group_median(annual_real, ["year"], value, out="market_index")
+    return group_median(annual_real, ["year"], value, out="market_index", few_groups=True)     # calendar years
 
 
 def price_vs_market(annual_real: DataFrame, market: DataFrame, key: str = "item_id",

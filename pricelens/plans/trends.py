@@ -180,7 +180,7 @@ def current_vs_genre(spark, sf_dir):
     it = p.items.select("item_id", "genre", F.coalesce("publisher", F.lit("Unknown")).alias("publisher"))
     with_cur = it.join(cur, "item_id", "left")
     med = group_median(with_cur.where(F.col("genre").isNotNull()), ["genre"], "current_real_price",
-                       out="genre_median_price")
+                       out="genre_median_price", few_groups=True)                             # genres
     # one row per genre: AQE broadcasts it at run time when it is small and
     # keeps a shuffle join otherwise (genres are data, not a fixed list)
     out = with_cur.join(med, "genre", "left")
