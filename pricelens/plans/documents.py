@@ -64,7 +64,7 @@ _FLAT_SQL = f"""
            CASE p_size % 9 {_LABELS} END AS esrb,
            CAST(1990 + p_size % 12 + CASE WHEN p_partkey % 4 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS release_year,
            CAST(p_size // 10 AS VARCHAR) AS franchise_ids, 'S' || CAST(p_size // 10 AS VARCHAR) AS franchise_names,
-           p_size * 2.0 AS critic_score, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS user_score,
+           CAST(p_size * 2.0 AS DOUBLE) AS critic_score, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS user_score,
            CAST(p_size AS INTEGER) AS rating_count,
            CASE WHEN p_size * 2.0 <> 0 AND CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) <> 0
                 THEN CAST(floor((p_size * 2.0 - CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE)) * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) END
@@ -94,7 +94,7 @@ _RR_SQL = """
         SELECT p_partkey AS rid, p_name || ' ' || p_brand AS name, p_partkey % 4 <> 0 AS has_r2,
                CASE WHEN p_partkey % 3 = 0 THEN [p_partkey % 7 + 1, (p_partkey % 7 + 1) % 7 + 1]
                     ELSE [p_partkey % 7 + 1] END AS plats,
-               p_size * 2.0 AS critic, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS usr, CAST(p_size AS INTEGER) AS cnt,
+               CAST(p_size * 2.0 AS DOUBLE) AS critic, CAST(floor(p_retailprice / 30 * 100 + 0.5 + 1e-5) / 100 AS DOUBLE) AS usr, CAST(p_size AS INTEGER) AS cnt,
                CAST(1990 + p_size % 12 AS INTEGER) AS year
         FROM part),
     v AS (SELECT rel.*, det.* EXCLUDE (rid) FROM rel JOIN det ON rel.rid = det.rid

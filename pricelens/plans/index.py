@@ -89,7 +89,7 @@ def _dec(c: str, d: int = 2):
            coalesce(rr.rerelease_exists, false) AS rerel, rr.rerelease_year AS rerel_yr,
            coalesce(trim(rr.rerelease_type), '') AS rerel_tp,
            coalesce(names.t, '') AS rerel_names, coalesce(hmt.t, '') AS hm, coalesce(hat.t, '') AS ha,
-           coalesce(pr.n, 0) AS n_preds, coalesce(pr.t, '') AS preds
+           CAST(coalesce(pr.n, 0) AS INTEGER) AS n_preds, coalesce(pr.t, '') AS preds
     FROM items i LEFT JOIN units u ON i.item_id = u.item_id LEFT JOIN phist h ON i.item_id = h.item_id
     LEFT JOIN rr ON i.item_id = rr.id LEFT JOIN names ON i.item_id = names.item_id
     LEFT JOIN hmt ON i.item_id = hmt.item_id LEFT JOIN hat ON i.item_id = hat.item_id

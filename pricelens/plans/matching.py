@@ -212,7 +212,7 @@ def containment_match_query(spark, sf_dir):
 @register("text_normalize", headline=True, covers=("H1", "H2", "H3", "H10"),
           oracle=lambda: f"""
     SELECT doc_id, md5({folded_sql('text')}) AS folded_md5, md5({plain_sql('text')}) AS plain_md5,
-           len({key_words_sql(folded_sql('text'))}) AS n_key_words
+           CAST(len({key_words_sql(folded_sql('text'))}) AS INTEGER) AS n_key_words
     FROM documents""")
 def text_normalize(spark, sf_dir):
     """Whole-document normalisation (accent folding and plain), key-word count."""

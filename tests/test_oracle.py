@@ -11,6 +11,8 @@ from pricelens.plans.registry import all_queries
 from pricelens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+         "boolean": "BOOLEAN", "float": "FLOAT"}
 QUERIES = all_queries()
 
 
@@ -50,3 +52,6 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(q.oracle)
     dcols = [d[0] for d in res.description]
     assert _canon(df.columns, got) == _canon(dcols, res.fetchall())
+    types = {r[0]: r[1] for r in duck.execute("DESCRIBE " + q.oracle).fetchall()}
+    for f in df.schema.fields:
+        assert TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) == types[f.name], (name, f.name)
