@@ -110,3 +110,34 @@ def test_duplicate_histories(spark):
     ], "item_id int, price_history string, price_record_count int, match_type string, match_score double, title string")
     got = {r.item_id: r.exclusion_reason for r in resolve_duplicate_histories(df, 50).collect()}
     assert got == {1: None, 2: "duplicate_price_history", 3: None, 4: None}
+
+
+def test_sales_table_rows(spark):
+    from pricelens.sources.landed import sales_table_rows
+    html = ('<div id="nav"><table><tr><td>1</td><td></td><td><a href="/game/9/">Menu</a></td>'
+            '<td></td><td></td><td>9m</td><td></td><td></td></tr></table></div>'
+            '<div id="generalBody"><table>'
+            '<tr><th>Pos</th></tr>'
+            '<tr><td>1</td><td></td><td><a href="/game/1/"><b>Zelda</b></a></td><td></td><td></td>'
+            '<td>1.25m</td><td>N/A</td><td>x</td></tr>'
+            '<tr><td>2</td><td></td><td><a href="https://x.org/game/2/">Mario</a></td><td></td><td></td>'
+            '<td><0.01</td><td>0.30m</td><td>x</td></tr>'
+            '<tr><td>3</td><td></td><td><a href="/news/3/">News</a></td><td></td><td></td><td>1m</td><td></td><td></td></tr>'
+            '<tr><td>4</td><td></td><td><a href="/game/4/"> </a></td><td></td><td></td><td>1m</td><td></td><td></td></tr>'
+            '<tr><td>5</td><td><a href="/game/5/">Short</a></td></tr>'
+            '</table></div>')
+    rows = sales_table_rows(spark.createDataFrame([("Wii", html)], "console string, html string"),
+                            base_url="https://s.org").collect()
+    got = sorted((r.title, r.sales_url, r.units_global_m, r.units_na_m) for r in rows)
+    assert got == [("Mario", "https://x.org/game/2/", None, 0.3), ("Zelda", "https://s.org/game/1/", 1.25, None)]
+
+
+def test_top_k_hot_group_matches_window(spark):
+    from pyspark.sql import Window
+    from pricelens.operators.topk import top_k_per_group
+    rows = [("hot", f"t{i:05d}", i) for i in range(3000)] + [("cold", f"c{i}", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, title string, id int")
+    got = {(r.g, r.title, r.rank) for r in top_k_per_group(df, ["g"], ["title", "id"], 10, salt_key=["id"]).collect()}
+    w = Window.partitionBy("g").orderBy("title", "id")
+    ref = {(r.g, r.title, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).where("rn <= 10").collect()}
+    assert got == ref and len(got) == 15
