@@ -64,13 +64,13 @@ def price_point_rows(points, p: V.Panel):
     a typed NULL column, title and console of the item, the page as URL."""
     it = p.items.select("item_id", "title", F.col("platform").alias("console"))
     return points.join(it, "item_id", "left").select(
-        F.lit(None).cast("bigint").alias("igdb_id"), "title", "console", "condition", "date", "price_usd",
+        F.lit(None).cast("bigint").alias("metadata_id"), "title", "console", "condition", "date", "price_usd",
         F.col("page_id").alias("pc_url"))
 
 
 @register("chart_ingest", covers=("A6", "K3", "J1", "I2", "B6", "B10", "C5", "A2"),
           oracle=lambda: V.with_views(f"""
-    SELECT CAST(NULL AS BIGINT) AS igdb_id, i.title, i.platform AS console, r.condition, r.date, r.price_usd,
+    SELECT CAST(NULL AS BIGINT) AS metadata_id, i.title, i.platform AS console, r.condition, r.date, r.price_usd,
            r.page_id AS pc_url
     FROM ({_CHART_ROWS_SQL}) r LEFT JOIN items i ON r.item_id = i.item_id"""))
 def chart_ingest(spark, sf_dir):
