@@ -80,32 +80,37 @@ def hypergeometric(total: F.Column, good: F.Column, draws: F.Column, u: F.Column
 
     ``draws`` of ``total`` things are taken, of which ``good`` are good.
     """
-    n, k, m = (c.cast("double") for c in (total, good, draws))
-    sd = F.sqrt(F.greatest(F.lit(0.0), m * k / F.greatest(n, F.lit(1.0)) * (1 - k / F.greatest(n, F.lit(1.0)))))
-    mode, span = F.floor((m + 1) * (k + 1) / (n + 2)), F.ceil(12 * sd) + 10
-    low = F.greatest(F.lit(0).cast("long"), draws - (total - good), (mode - span).cast("long"))
-    high = F.least(good, draws, (mode + span).cast("long"))
-
-    def up(p, x):       # probability of x, from that of x - 1
-        y = x.cast("double") - 1
-        return p * (k - y) * (m - y) / ((y + 1) * (n - k - m + y + 1))
-
-    def walk(state, x):
-        p = F.when(x == low, F.lit(1.0)).otherwise(up(state["p"], x))
-        return F.struct(p.alias("p"), (state["sum"] + p).alias("sum"))
-
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("sum"))
-    steps = F.sequence(low, F.greatest(low, high))
-    mass = F.aggregate(steps, start, walk)["sum"]
-
-    def find(state, x):
-        p = F.when(x == low, F.lit(1.0)).otherwise(up(state["p"], x))
-        total_p = state["sum"] + p
-        return F.struct(p.alias("p"), total_p.alias("sum"),
-                        F.when(state["k"].isNull() & (total_p >= u * mass), x).otherwise(state["k"]).alias("k"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("k")), find)["k"]
-    return F.coalesce(found, F.greatest(low, high))
+    def bounds(x):
+        n, k, m = (x[c].cast("double") for c in ("total", "good", "draws"))
+        sd = F.sqrt(F.greatest(F.lit(0.0), m * k / F.greatest(n, F.lit(1.0)) * (1 - k / F.greatest(n, F.lit(1.0)))))
+        mode, span = F.floor((m + 1) * (k + 1) / (n + 2)), F.ceil(12 * sd) + 10
+        low = F.greatest(F.lit(0).cast("long"), x["draws"] - (x["total"] - x["good"]), (mode - span).cast("long"))
+        high = F.greatest(low, F.least(x["good"], x["draws"], (mode + span).cast("long")))
+        return F.struct(n.alias("n"), k.alias("k"), m.alias("m"), low.alias("low"), high.alias("high"))
+
+    def masses(x):
+        """Probabilities from low to high, up to a factor: each from the one before."""
+        def up(state, i):
+            y = i.cast("double") - 1
+            p = F.when(i == x["low"], F.lit(1.0)).otherwise(
+                state["p"] * (x["k"] - y) * (x["m"] - y) / ((y + 1) * (x["n"] - x["k"] - x["m"] + y + 1)))
+            return F.struct(p.alias("p"), F.concat(state["all"], F.array(p)).alias("all"))
+        start = F.struct(F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("all"))
+        return F.struct(x["low"].alias("low"), F.aggregate(F.sequence(x["low"], x["high"]), start, up)["all"].alias("p"))
+
+    def summed(x):
+        return F.struct(x["low"].alias("low"), x["p"].alias("p"), (F.aggregate(x["p"], F.lit(0.0), lambda t, p: t + p) * u).alias("goal"))
+
+    def found(x):
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("i"))
+        return x["low"] + F.aggregate(x["p"], start, lambda t, p: F.struct(
+            (t["sum"] + p).alias("sum"), (t["i"] + F.when(t["sum"] + p < x["goal"], 1).otherwise(0)).alias("i")))["i"]
+
+    # every step is worked out once: it is the element of an array that the next step transforms
+    steps = F.array(F.struct(total.cast("long").alias("total"), good.cast("long").alias("good"), draws.cast("long").alias("draws")))
+    for step in (bounds, masses, summed, found):
+        steps = F.transform(steps, step)
+    return F.least(steps[0], good, draws)
 
 
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
