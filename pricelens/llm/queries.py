@@ -87,3 +87,9 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelens.llm.toxicity import fit_chain, label_categories, score
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_chain(docs, table(spark, sf_dir, "labels"), label_categories()))
+
+
+@register("op6_chosen_path_join")
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelens.llm.chosen_path import jaccard_join
+    return jaccard_join(table(spark, sf_dir, "documents"))

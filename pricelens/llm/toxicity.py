@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in a fixed order by linear (logistic) models over the
-words of a text and a few ratios.  A later model also gets the logits of the
+words of a text, their beginnings (which stand for inflected forms) and a few
+ratios.  A later model also gets the logits of the
 earlier categories; for training these come from out-of-fold models, so they
 are as uncertain as they will be on new documents.
 
@@ -20,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.llm.chosen_path import ngrams
 from pricelens.llm.common import ALNUM_WORD, map_rows, text_bytes
 from pricelens.llm.contamination import words_of
 from pricelens.session import checkpoint
 
-# Bounds of what is fitted: labelled rows, words that are looked at, words a model uses.
+# Bounds of what is fitted: labelled rows, words and beginnings that are looked
+# at, and those a model uses.
 SAMPLE_ROWS = 8000
-VOCABULARY = 20_000
-MODEL_WORDS = 300
+VOCABULARY = 40_000
+MODEL_WORDS = 400
+STEMS = (4, 5, 6)          # characters of a beginning
 FOLDS = 5
-MIN_Z = 4.0             # a word's least association with a category, in standard errors
-RIDGE = 0.5
+MIN_Z = 5.0             # a word's least association with a category, in standard errors
+RIDGE = 0.05
 RATIOS = 4
 
 
@@ -42,10 +46,18 @@ def ratios(text: str, words: Sequence[bytes], distinct: int) -> list[float]:
 
 
 def read(text: bytes | None) -> tuple[set[bytes], list[float]]:
+    """Words and their beginnings, and the ratios."""
     plain = (text or b"").decode("utf-8", "replace")
     words = words_of(plain.lower().encode())
     distinct = set(words)
-    return distinct, ratios(plain, words, len(distinct))
+    stems = {w.decode()[:n].encode() + b"~" for w in distinct for n in STEMS if len(w) > n}
+    return distinct | stems, ratios(plain, words, len(distinct))
+
+
+def copy_key(text: bytes | None) -> int:
+    """The smallest hash of the n-grams: equal for near copies with the probability of their similarity."""
+    grams = ngrams(text)
+    return int(grams[0].astype(np.int64)) if len(grams) else 0
 
 
 @dataclass
@@ -150,8 +162,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     # at most sample_rows ids are broadcast
     sample = checkpoint(texts.join(F.broadcast(marked), F.col("__id") == F.col("__label_id")).drop("__label_id"))
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("__text", F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))))
-    known = sample.select(word.alias("w")).groupBy("w").count().filter("count > 2").orderBy(F.desc("count"), "w").limit(VOCABULARY)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("__text", F.lit(""))), F.lit(ALNUM_WORD), F.lit(0)))
+    stems = [F.transform(F.filter("ws", lambda w: F.octet_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("~"))) for n in STEMS]
+    known = sample.select(words.alias("ws")).select(F.explode(F.array_distinct(F.concat("ws", *stems))).alias("w")).groupBy("w").count().filter("count > 2").orderBy(F.desc("count"), "w").limit(VOCABULARY)
     vocabulary = sorted(r.w.encode() for r in known.collect())
     sent = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -161,11 +174,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
             found = [read(t) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([sorted(index[w] for w in d & index.keys()) for d, _ in found], pa.list_(pa.int32())),
-                 pa.array([x for _, x in found], pa.list_(pa.float64())), *batch.columns[2:]],
-                names=["id", "words", "ratios", *names])
-
-    schema = "id long, words array<int>, ratios array<double>, " + ", ".join(f"`{n}` int" for n in names)
-    got = sample.mapInArrow(numbers, schema).toArrow().sort_by("id").to_pydict()
+                 pa.array([x for _, x in found], pa.list_(pa.float64())),
+                 pa.array([copy_key(t) for t in text_bytes(batch.column(1))], pa.int64()), *batch.columns[2:]],
+                names=["id", "words", "ratios", "copy", *names])
+
+    schema = "id long, words array<int>, ratios array<double>, copy long, " + ", ".join(f"`{n}` int" for n in names)
+    # of the sample's copies one counts, lest what a copied text happens to hold looks telling
+    table = sample.mapInArrow(numbers, schema).toArrow().sort_by("id")
+    _, first = np.unique(table.column("copy").to_numpy(), return_index=True)
+    got = table.take(np.sort(first)).to_pydict()
     rows = [np.array(r, np.int64) for r in got["words"]]
     dense = np.array(got["ratios"], float).reshape(len(rows), RATIOS)
     fold = np.arange(len(rows)) % folds
