@@ -6,11 +6,11 @@
 * containment match: share of the left title's key words found in the right
   title, with an exact-normalised bucket taking precedence.
 
-No operator emits all pairs of a platform.  Fuzzy candidates come from prefix
-filtering over numbered bigrams (exact for the threshold, see
-``_prefix_len``); containment candidates from an inverted index probed with a
-key-word prefix; the degenerate cases (same normalised title, empty key-word
-set) are resolved with group aggregates instead of pairs.
+No operator emits all pairs of a platform.  Fuzzy candidates share a segment
+at a matching place (exact for any threshold, see ``segments``); containment
+candidates come from an inverted index probed with a key-word prefix; the
+degenerate cases (same normalised title, empty key-word set) are resolved with
+group aggregates instead of pairs.
 """
 
 from __future__ import annotations
@@ -25,39 +25,61 @@ from pricelens.session import checkpoint
 
 
 
-# ------------------------------------------------------------ token helpers
-def numbered_bigrams(s: Column) -> Column:
-    """Bigrams of ``s`` with their occurrence number (``"ab|1"``, ``"ab|2"``...),
-    so that set overlap equals bag overlap."""
-    n = F.length(s)
-    grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, 2))) \
-             .otherwise(F.array().cast("array<string>"))
-    return F.transform(grams, lambda x, i: F.concat(
-        x, F.lit("|"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda y: y == x)).cast("string")))
+# ---------------------------------------------------------- segment helpers
+MIN_THRESHOLD = 60.0
 
 
-def _prefix_len(n: Column) -> Column:
-    """Prefix length that keeps every pair with Levenshtein ratio >= 0.85.
+def _most_edits(n: Column, share: float) -> Column:
+    """Largest distance between a title of ``n`` characters and any title whose
+    ratio to it is at least ``share``: that title has at most n / share
+    characters, and the distance is at most (1 - share) of the longer one."""
+    return F.floor(n * (1 - share) / share + 1e-9).cast("int")
 
-    With distance k <= 0.15 * max(|a|, |b|) and max <= |a| / 0.85, at most
-    k <= floor(3|a|/17) edits touch at most 2k of a's |a|-1 bigrams, so the
-    pair shares >= |a|-1-2k numbered bigrams and the two prefixes of length
-    2k+1 (in one global token order) must intersect.
+
+def _segment(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of the i-th of ``k + 1`` even segments."""
+    base, short = F.floor(n / (k + 1)).cast("int"), k + 1 - n % (k + 1)
+    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1, base + F.when(i > short, 1).otherwise(0)
+
+
+def segments(norm: Column, share: float) -> Column:
+    """The indexed side: (length, number, text) of a title's segments.
+
+    A title is cut into one segment more than the edits that any match allows,
+    so at least one segment stands unchanged in the other title.
+    """
+    n = F.length(norm)
+    k = _most_edits(n, share)
+
+    def one(i):
+        start, size = _segment(n, k, i)
+        return F.struct(n.alias("n"), i.alias("i"), F.substring(norm, start, size).alias("text"))
+    return F.transform(F.sequence(F.lit(1), k + 1), one)
+
+
+def probes(norm: Column, share: float) -> Column:
+    """The probing side: (length, number, text) of the substrings that can be a
+    segment of a matching title, for every length such a title may have.
+
+    Segment ``i`` can have moved by at most i - 1 characters counted from the
+    left end, and by as many as there are segments after it from the right end
+    (otherwise an earlier or later segment matches as well).
     """
-    return F.floor(n * 3 / 17) * 2 + 1
+    n = F.length(norm)
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n * share - 1e-9).cast("int")), F.floor(n / share + 1e-9).cast("int"))
 
+    def of_length(m):
+        k = _most_edits(m, share)
 
-def _prefix_tokens(df: DataFrame, id_col: str, text: str, order: DataFrame, prefix: Column) -> DataFrame:
-    """Rows (id, token) for the first ``prefix`` tokens of each text in the
-    global order (rarest first)."""
-    toks = df.select(id_col, "platform", F.explode(numbered_bigrams(F.col(text))).alias("token"))
-    ranked = toks.join(order, "token", "left") \
-                 .withColumn("freq", F.coalesce("freq", F.lit(0)))
-    lens = df.select(id_col, prefix.alias("_p"))
-    per = ranked.groupBy(id_col, "platform").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
-    per = per.join(lens, id_col)
-    return per.select(id_col, "platform", F.explode(F.slice("_t", 1, F.col("_p").cast("int"))).alias("_x")) \
-              .select(id_col, "platform", F.col("_x.token").alias("token"))
+        def of_segment(i):
+            start, size = _segment(m, k, i)
+            shift = n - m
+            first = F.greatest(F.lit(1), start - (i - 1), start + shift - (k + 1 - i))
+            last = F.least(n - size + 1, start + (i - 1), start + shift + (k + 1 - i))
+            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.struct(m.alias("n"), i.alias("i"), F.substring(norm, p, size).alias("text")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), k + 1), of_segment))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -73,8 +95,11 @@ def match_titles(left: DataFrame, right: DataFrame, left_key: str = "item_id", r
 
     Returns one row per left row with ``match_type`` exact / fuzzy /
     unmatched, ``match_score`` (100, rounded ratio, NULL) and the payload of
-    the matched right row.
+    the matched right row.  ``threshold`` is at least ``MIN_THRESHOLD``: below
+    it segments get too short to tell titles apart.
     """
+    if threshold < MIN_THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {MIN_THRESHOLD}")
     payload = payload or []
     # both sides feed several branches: materialise each once (reliable
     # checkpoint in the shared folder) instead of recomputing its lineage
@@ -86,25 +111,22 @@ def match_titles(left: DataFrame, right: DataFrame, left_key: str = "item_id", r
         left_key, F.lit("exact").alias("match_type"), F.lit(100.0).alias("match_score"), *payload)
     rest = L.join(R.select("platform", "norm"), ["platform", "norm"], "left_anti")
 
-    # --- fuzzy: prefix-filtered candidates, exact scoring, best per left row
-    rid = F.col(right_order)
-    order = (R.select(F.explode(numbered_bigrams(F.col("norm"))).alias("token"))
-             .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    lp = _prefix_tokens(rest, left_key, "norm", order, F.least(_prefix_len(F.length("norm")), F.length("norm") - 1))
-    rp = _prefix_tokens(R.select(rid.alias("_rid"), "platform", "norm"), "_rid", "norm", order,
-                        F.least(_prefix_len(F.length("norm")), F.length("norm") - 1))
-    pairs = lp.join(rp, ["platform", "token"]).select(left_key, "_rid").distinct()
-    cand = (pairs.join(rest.select(left_key, F.col("norm").alias("_ln")), left_key)
-            .join(R.select(rid.alias("_rid"), F.col("norm").alias("_rn"), *payload), "_rid"))
-    ml, mr = F.length("_ln"), F.length("_rn")
-    cand = cand.where(F.abs(ml - mr) * 100 <= F.greatest(ml, mr) * 15)       # length band (exact bound)
-    cand = cand.withColumn("_score", levenshtein_ratio(F.col("_ln"), F.col("_rn"))) \
-               .where(F.col("_score") >= threshold)
-    best = cand.groupBy(left_key).agg(F.max(F.struct(F.col("_score"), (-F.col("_rid")).alias("_neg"),
-                                                     *[F.col(c) for c in payload])).alias("_b"))
-    fuzzy = best.select(left_key, F.lit("fuzzy").alias("match_type"),
-                        rnd(F.col("_b._score"), 1).alias("match_score"),
-                        *[F.col("_b")[c].alias(c) for c in payload])
+    # --- fuzzy: candidates share a segment, exact scoring, best per title
+    rid, share = F.col(right_order), threshold / 100
+    titles = rest.where(F.length("norm") > 0).select("platform", "norm").distinct()    # every title is probed once
+    probe = titles.select("platform", F.col("norm").alias("_ln"), F.explode(probes(F.col("norm"), share)).alias("_s"))
+    index = R.where(F.length("norm") > 0).select("platform", rid.alias("_rid"), F.col("norm").alias("_rn"),
+                                                 F.explode(segments(F.col("norm"), share)).alias("_s"))
+    most = F.floor(F.greatest(F.length("_ln"), F.length("_rn")) * (1 - share) + 1e-9).cast("int")
+    pairs = probe.join(index, ["platform", "_s"]).where(F.abs(F.length("_ln") - F.length("_rn")) <= most) \
+                 .select("platform", "_ln", "_rid", "_rn").distinct()
+    cand = pairs.withColumn("_score", levenshtein_ratio(F.col("_ln"), F.col("_rn"))).where(F.col("_score") >= threshold)
+    best = cand.groupBy("platform", "_ln").agg(F.max(F.struct("_score", (-F.col("_rid")).alias("_neg"))).alias("_b"))
+    best = best.select("platform", F.col("_ln").alias("norm"), F.col("_b._score").alias("_score"), (-F.col("_b._neg")).alias("_rid"))
+    best = best.join(R.select(F.col("platform").alias("_rp"), rid.alias("_ro"), *payload),
+                     (F.col("platform") == F.col("_rp")) & (F.col("_rid") == F.col("_ro")))
+    fuzzy = rest.join(best, ["platform", "norm"]).select(
+        left_key, F.lit("fuzzy").alias("match_type"), rnd("_score", 1).alias("match_score"), *payload)
     matched = exact.unionByName(fuzzy)
     out = L.select(left_key).join(matched, left_key, "left")
     return out.withColumn("match_type", F.coalesce("match_type", F.lit("unmatched")))
