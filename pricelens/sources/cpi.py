@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.sources.tables import path_exists
+
 # Accepted header names (case-insensitive, trimmed).
 YEAR_NAMES = ("year", "yr")
 VALUE_NAMES = ("annual", "avg", "value", "cpi")
@@ -14,14 +16,11 @@ def load_cpi(spark: SparkSession, path: str, required: bool = True) -> DataFrame
     """``(year INT, value DOUBLE)`` from a CSV whose headers may be padded or
     differently cased; the first matching year / value columns are used.
     Missing file or columns: an error when ``required``, else an empty
-    table (the model-side behaviour)."""
+    table (the model-side behaviour).  Any other read error is raised."""
     empty = spark.createDataFrame([], "year int, value double")
-    try:
-        raw = spark.read.option("header", True).csv(path)
-    except Exception:
-        if required:
-            raise
+    if not required and not path_exists(spark, path):
         return empty
+    raw = spark.read.option("header", True).csv(path)
     cols = {c.strip().lower(): c for c in raw.columns}
     ycol = next((cols[n] for n in cols if n in YEAR_NAMES), None)
     vcol = next((cols[n] for n in cols if n in VALUE_NAMES), None)

@@ -25,6 +25,7 @@ CONDITION_MAP = {
     "manualonly": "manualonly",
 }
 
+# Fixed value: the statement that holds a page's chart object.
 CHART_PATTERN = r"(?s)VGPC\.chart_data\s*=\s*(\{.*?\});"
 CHART_TYPE = "map<string,array<array<bigint>>>"
 
@@ -119,9 +120,53 @@ def catalog_rows(pages: DataFrame, json_col: str = "body", console: str = "conso
                     F.concat(F.lit(base_url), F.col("_p.consoleUri"), F.lit("/"), F.col("_p.productUri")).alias("url"))
 
 
+# Named character references of HTML that occur in titles and figures; the
+# ampersand comes last, so nothing is decoded twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "\u2013", "&mdash;": "\u2014",
+            "&eacute;": "\u00e9", "&reg;": "\u00ae", "&trade;": "\u2122", "&copy;": "\u00a9", "&amp;": "&"}
+
+
+def decode_entities(text):
+    """HTML character references as characters: decimal, hexadecimal, then the named ones."""
+    def character(ref):
+        digits = F.regexp_extract(ref, r"&#[xX]?([0-9A-Fa-f]+);", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        # beyond the last code point nothing is decoded
+        return F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    out = F.aggregate(refs, text, lambda acc, ref: F.replace(acc, ref, character(ref)))
+    for name, plain in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(plain))
+    return out
+
+
 def _cell_text(cell):
-    """Text of an HTML fragment: tags removed, whitespace trimmed."""
-    return F.trim(F.regexp_replace(cell, r"<[^>]+>", ""))
+    """Text of an HTML fragment: tags removed, references decoded, whitespace trimmed."""
+    return F.trim(decode_entities(F.regexp_replace(cell, r"<[^>]+>", "")))
+
+
+def _attribute(tag, name: str):
+    """Value of an attribute in double, single or no quotes (empty if absent)."""
+    value = rf"(?is)<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    return F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)])
+
+
+def container_html(html, container: str):
+    """What stands inside ``<div id=container>``, up to that element's own end tag.
+
+    The text behind the opening tag is cut at every closing ``div``; it ends
+    where as many have closed as were open.
+    """
+    rest = F.regexp_extract(html, rf"(?is)<div\b[^>]*?\sid\s*=\s*[\"']?{container}(?=[\"'\s>])[^>]*>(.*)", 1)
+
+    def step(state, piece):
+        depth = state["depth"] + F.regexp_count(piece, F.lit(r"(?i)<div\b")) - 1
+        kept = F.when(state["depth"] > 0, F.concat(state["out"], piece)).otherwise(state["out"])
+        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"), kept.alias("out"))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(F.split(rest, r"(?i)</div\s*>"), start, step)["out"]
 
 
 def sales_table_rows(pages: DataFrame, html: str = "html", console: str = "console",
@@ -130,14 +175,16 @@ def sales_table_rows(pages: DataFrame, html: str = "html", console: str = "conso
     """Rows of the sales table inside ``<div id="<container>">``: rows with at
     least ``min_cells`` cells whose 3rd cell links to a ``/game/`` page;
     relative links are made absolute, rows without a title are skipped; the
-    6th and 7th cells are unit texts (global, north america)."""
-    body = F.regexp_extract(F.col(html), rf'(?s)<div id="{container}">(.*)</div>', 1)
-    trs = pages.select(console, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("_tr"))
-    cells = trs.select(console, F.regexp_extract_all("_tr", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("_td"))
+    6th and 7th cells are unit texts (global, north america).  Attributes may
+    stand in any order and quotes, nested elements and other containers do not
+    matter, and character references are decoded."""
+    body = container_html(F.col(html), container)
+    trs = pages.select(console, F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))).alias("_tr"))
+    cells = trs.select(console, F.regexp_extract_all("_tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(1)).alias("_td"))
     cells = cells.where(F.size("_td") >= min_cells)
     link = F.col("_td")[2]
-    href = F.regexp_extract(link, r'<a[^>]*href="([^"]*)"', 1)
-    title = _cell_text(F.regexp_extract(link, r"(?s)<a[^>]*>(.*?)</a>", 1))
+    href = decode_entities(_attribute(F.regexp_extract(link, r"(?is)<a\b[^>]*>", 0), "href"))
+    title = _cell_text(F.regexp_extract(link, r"(?is)<a\b[^>]*>(.*?)</a\s*>", 1))
     rows = cells.select(console, href.alias("_href"), title.alias("title"),
                         _cell_text(F.col("_td")[5]).alias("_g"), _cell_text(F.col("_td")[6]).alias("_na"))
     rows = rows.where(F.col("_href").contains("/game/") & (F.col("title") != ""))

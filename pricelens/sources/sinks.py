@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricelens.sources.tables import read_optional
+from pricelens.sources.tables import path_exists, read_optional
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+def _qualified(spark: SparkSession, path: str) -> str:
+    """Full URI of a path, without a trailing slash."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hpath).toUri().getPath().rstrip("/")
 
 
 def write_overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Replace a table.  Writing over a table the same job reads is refused:
-    write to a separate output path (the input stays intact)."""
+    """Replace a table.  Writing over a table the same plan reads is refused
+    (``ValueError``): write to a separate output path."""
+    target = _qualified(df.sparkSession, path) + "/"
+    if any((_qualified(df.sparkSession, f) + "/").startswith(target) for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by the table that would replace it")
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -37,7 +41,7 @@ def write_append(df: DataFrame, path: str, schema: StructType | None = None, fmt
 def cache_or_compute(spark: SparkSession, path: str, compute, fmt: str = "parquet") -> DataFrame:
     """Reuse a materialised stage if present, else compute, write and re-read
     it (the re-read plan starts from the files, so lineage is cut)."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         compute().write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
 

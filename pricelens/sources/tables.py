@@ -16,17 +16,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_RELATIONS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one parquet table.  Projection and filters applied later are pushed
-    into the scan by Catalyst (``ReadSchema`` / ``PushedFilters``).  The
-    relation (with its file listing) is reused within a session."""
-    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
-    if key not in _RELATIONS:
-        _RELATIONS[key] = spark.read.parquet(table_path(sf_dir, name))
-    return _RELATIONS[key]
+    into the scan by Catalyst (``ReadSchema`` / ``PushedFilters``)."""
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any file system Spark reads."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
@@ -36,10 +35,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool =
 
 def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """Read ``path`` if it exists, else an empty table with the same schema."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
+    if path_exists(spark, path):
         return spark.read.schema(schema).format(fmt).load(path)
     return spark.createDataFrame([], schema)
 

@@ -141,3 +141,53 @@ def test_top_k_hot_group_matches_window(spark):
     w = Window.partitionBy("g").orderBy("title", "id")
     ref = {(r.g, r.title, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).where("rn <= 10").collect()}
     assert got == ref and len(got) == 15
+
+
+def test_sales_table_in_real_markup(spark):
+    """Attributes in any order and quotes, nested and later containers, character references."""
+    from pricelens.sources.landed import decode_entities, sales_table_rows
+    row = ("<tr><td>1</td><td>x</td><td><a class=t href='{href}' title=\"y\">{title}</a></td><td>a</td><td>b</td>"
+           "<td>{g}</td><td>{na}</td><td>c</td></tr>")
+    inside = row.format(href="/game/1/a?x=1&amp;y=2", title="Mario &amp; Luigi&#39;s <b>Caf&#xE9;</b>", g="1.50m", na="0.50m")
+    later = row.format(href="/game/2/b", title="Elsewhere", g="9.00m", na="9.00m")
+    pages = [
+        f"<html><DIV class=\"x\" id=\"generalBody\" style='a'><div>menu</div><table>{inside}</table></DIV><div>{later}</div></html>",
+        f"<div id='generalBody'><table>{inside}</table><div><div>deep</div></div></div>{later}",
+        f"<div id=generalBody>{inside}</div><div id=\"generalBodyTwo\">{later}</div>",
+        f"<div id=\"generalBodyTwo\">{later}</div>",
+        f"<div data-id=\"generalBody\">{later}</div>",
+    ]
+    df = spark.createDataFrame([("Wii", p) for p in pages], "console string, html string")
+    got = [tuple(r) for r in sales_table_rows(df, base_url="https://s.example").collect()]
+    assert got == [("Mario & Luigi's Café", "https://s.example/game/1/a?x=1&y=2", "Wii", 1.5, 0.5)] * 3
+    refs = [("&lt;&#60;&#x3c;&amp;lt;", "<<<&lt;"), ("&#128512;&unknown;&#99999999;", "\U0001f600&unknown;&#99999999;"), ("", ""), (None, None)]
+    df = spark.createDataFrame(refs, "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", decode_entities(F.col("t")).alias("got")).collect())
+
+
+def test_overwrite_refuses_its_own_input(spark):
+    from pricelens.sources.sinks import write_overwrite
+    d = _tmp()
+    write_overwrite(spark.range(3), os.path.join(d, "a"))
+    same = spark.read.parquet(os.path.join(d, "a"))
+    try:
+        write_overwrite(same, os.path.join(d, "a"))
+        raise AssertionError("not refused")
+    except ValueError:
+        pass
+    write_overwrite(same, os.path.join(d, "ab"))
+    assert spark.read.parquet(os.path.join(d, "a")).count() == spark.read.parquet(os.path.join(d, "ab")).count() == 3
+
+
+def test_fixed_schema_readers(spark):
+    from pricelens.sources.landed import read_game_documents
+    from pricelens.sources.tables import read_csv
+    d = _tmp()
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("title,console,n\nA,Wii,1\n\"B, C\",Wii U,\n")
+    schema = spark.createDataFrame([], "title string, console string, n int").schema
+    assert [tuple(r) for r in read_csv(spark, os.path.join(d, "t.csv"), schema).collect()] == [("A", "Wii", 1), ("B, C", "Wii U", None)]
+    with open(os.path.join(d, "g.json"), "w") as f:
+        f.write(json.dumps({"id": 7, "name": "X", "genres": [{"name": "RPG"}], "other": 1}) + "\n{broken\n")
+    rows = read_game_documents(spark, os.path.join(d, "g.json")).collect()
+    assert rows[0].id == 7 and rows[0].genres[0].name == "RPG" and rows[1].id is None
