@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_INDEX_ROWS = 10_000  # one row per year; anything larger is not a year index
-
 
 def dense_factors(cpi: DataFrame, ref_year: int, year_col: str = "year",
                   value_col: str = "value") -> DataFrame:
@@ -20,8 +18,7 @@ def dense_factors(cpi: DataFrame, ref_year: int, year_col: str = "year",
     last, with ``factor = index[ref_year] / index[as-of year]``.
 
     Returns NULL factors when the reference year is not published or an index
-    value is zero.  The index is tiny (bounded by the number of years); its
-    size is checked before it is brought to the driver.
+    value is zero.  At most one row per calendar year reaches the driver.
     """
     return _dense_from_index(cpi.sparkSession, _collect_index(cpi, year_col, value_col), ref_year)
 
@@ -39,29 +36,13 @@ def _dense_from_index(spark, idx: dict, ref_year: int) -> DataFrame:
     return spark.createDataFrame(out, "year int, factor double, last_year int")
 
 
-_INDEX_MEMO: dict = {}
-_FACTOR_MEMO: dict = {}
-
-
 def _collect_index(cpi: DataFrame, year_col: str = "year", value_col: str = "value") -> dict:
-    """The index as {year: value}; memoised per session and plan (equal
-    plans over the same data give equal indexes)."""
-    key = (cpi.sparkSession.sparkContext.applicationId, cpi.semanticHash(), year_col, value_col)
-    if key not in _INDEX_MEMO:
-        _INDEX_MEMO[key] = _read_index(cpi, year_col, value_col)
-    return _INDEX_MEMO[key]
-
-
-def _read_index(cpi: DataFrame, year_col: str, value_col: str) -> dict:
+    """The index as {year: value}, one row per calendar year after the
+    aggregate (a year given several times: its largest value)."""
     rows = cpi.select(F.col(year_col).cast("int").alias("y"), F.col(value_col).cast("double").alias("v")) \
-              .where(F.col("y").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")) \
-              .limit(MAX_INDEX_ROWS + 1).collect()
-    if len(rows) > MAX_INDEX_ROWS:
-        raise ValueError("price index has more rows than a yearly index can have")
-    idx = {}
-    for r in rows:          # duplicate years: the last one read wins
-        idx[r.y] = r.v
-    return idx
+              .where(F.col("y").between(1, 9999) & F.col("v").isNotNull() & ~F.isnan("v")) \
+              .groupBy("y").agg(F.max("v").alias("v")).collect()
+    return {r.y: r.v for r in rows}
 
 
 def deflate(df: DataFrame, cpi: DataFrame, ref_year: int, value: str, year: Column | str,
@@ -72,10 +53,7 @@ def deflate(df: DataFrame, cpi: DataFrame, ref_year: int, value: str, year: Colu
     year or without a reference value; ``'nominal'`` keeps the nominal value.
     """
     idx = _collect_index(cpi)
-    fkey = (cpi.sparkSession.sparkContext.applicationId, cpi.semanticHash(), ref_year)
-    if fkey not in _FACTOR_MEMO:
-        _FACTOR_MEMO[fkey] = _dense_from_index(cpi.sparkSession, idx, ref_year)
-    fac = _FACTOR_MEMO[fkey]
+    fac = _dense_from_index(cpi.sparkSession, idx, ref_year)
     hi = max(idx) if idx else None
     ycol = F.col(year) if isinstance(year, str) else year
     key = F.least(ycol, F.lit(hi)) if hi is not None else F.lit(None).cast("int")

@@ -22,17 +22,22 @@ def per_date_points(points: DataFrame, items: DataFrame, platform_dim: DataFrame
                     key: str = "item_id", order: str = "seq") -> DataFrame:
     """One row per (item, date) with any valid point: the platform's
     canonical condition, the number of canonical points ``n`` and the price
-    of the last canonical point in ``order`` (map-side combined aggregate,
-    so a hot item is reduced before the shuffle)."""
+    of the last canonical point in ``order``.
+
+    Points are reduced to one row per (item, date, condition) with a map-side
+    combine first; the canonical condition is joined to that, so the rows of a
+    hot item never meet raw in one join key."""
     pts = drop_sentinels(points).dropna(subset=["date", "price", key])      # dropna also drops NaN
+    daily = pts.groupBy(key, "date", "condition").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(rnd2("price"), F.col(order)).alias("_last"))
     canon = items.select(key, "platform").join(
         F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform", "left") \
         .select(key, "canonical_condition")
-    pts = pts.join(canon, key, "left")
+    daily = daily.join(canon, key, "left")
     is_canon = F.coalesce(F.col("condition") == F.col("canonical_condition"), F.lit(False))
-    return pts.groupBy(key, "canonical_condition", "date").agg(
-        F.count_if(is_canon).alias("n"),
-        F.max_by(F.when(is_canon, rnd2("price")), F.when(is_canon, F.col(order))).alias("price"))
+    return daily.groupBy(key, "canonical_condition", "date").agg(
+        F.coalesce(F.sum(F.when(is_canon, F.col("_n"))), F.lit(0)).cast("long").alias("n"),
+        F.max(F.when(is_canon, F.col("_last"))).alias("price"))
 
 
 def canonical_daily(per_date: DataFrame, key: str = "item_id") -> DataFrame:

@@ -32,22 +32,25 @@ def price_vs_market(annual_real: DataFrame, market: DataFrame, key: str = "item_
     return j.groupBy(key).agg(rnd(F.avg(F.col(value) / F.col("market_index")), digits).alias("price_vs_market_mean"))
 
 
-def price_near_offset(real_panel: DataFrame, items: DataFrame, months: int, cutoff: str | None,
-                      out: str, key: str = "item_id", date: str = "date", value: str = "real",
-                      max_days: int = 91) -> DataFrame:
-    """Real price of the point nearest to Jan 1 of the release year plus
-    ``months`` (within ``max_days``; earliest point on ties), rounded to 2.
-    NULL when the target lies after the cutoff or the release year is NULL."""
-    target = F.add_months(F.make_date(F.col("release_year"), F.lit(1), F.lit(1)), months)
-    it = items.select(key, target.alias("_target"))
-    if cutoff is not None:
-        it = it.where(F.col("_target") <= F.lit(cutoff).cast("date"))
+def prices_near_offsets(real_panel: DataFrame, items: DataFrame, offsets: dict[int, str], cutoff: str | None,
+                        key: str = "item_id", date: str = "date", value: str = "real", max_days: int = 91) -> DataFrame:
+    """For every offset (months -> output column) the real price of the point
+    nearest to Jan 1 of the release year plus the months (within ``max_days``;
+    earliest point on ties), rounded to 2.  NULL when the target lies after the
+    cutoff or the release year is NULL.  One join and one aggregate for all
+    offsets."""
+    targets = {}
+    for months in offsets:
+        t = F.add_months(F.make_date(F.col("release_year"), F.lit(1), F.lit(1)), months)
+        targets[months] = t if cutoff is None else F.when(t <= F.lit(cutoff).cast("date"), t)
+    it = items.select(key, *[t.alias(f"_target_{m}") for m, t in targets.items()])
     pts = real_panel.where((F.col("price") > 0) & F.col(value).isNotNull())
     if cutoff is not None:
         pts = pts.where(F.col(date) <= F.lit(cutoff).cast("date"))
-    j = pts.join(it, key).withColumn("_diff", F.abs(F.datediff(F.col(date), F.col("_target"))))
-    j = j.where(F.col("_diff") <= max_days)
-    return j.groupBy(key).agg(rnd(F.min_by(value, F.struct("_diff", date)), 2).alias(out))
+    j = pts.join(it.where(F.coalesce(*[f"_target_{m}" for m in offsets]).isNotNull()), key)
+    diffs = {m: F.abs(F.datediff(F.col(date), F.col(f"_target_{m}"))) for m in offsets}
+    near = {m: F.when(d <= max_days, F.struct(d.alias("d"), F.col(date).alias("t"))) for m, d in diffs.items()}
+    return j.groupBy(key).agg(*[rnd(F.min_by(value, near[m]), 2).alias(out) for m, out in offsets.items()])
 
 
 def latest_real_price(real_panel: DataFrame, cutoff: str | None, key: str = "item_id",

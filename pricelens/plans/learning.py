@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from pricelens.functions.numeric import rnd, rnd_sql
@@ -17,9 +19,9 @@ EVAL_START = "2000-01-01"
 LOOKBACK = 36
 
 
-def model_panel(p: V.Panel):
+def model_panel(p: V.Panel, after: str | None = None, until: str | None = None):
     """Monthly panel deflated with the model's rule (nominal when no index)."""
-    return deflate(p.panel_m, p.cpi, V.CPI_REF_YEAR, "price", F.year("date"), on_missing="nominal")
+    return deflate(p.panel_between(after, until), p.cpi, V.CPI_REF_YEAR, "price", F.year("date"), on_missing="nominal")
 
 
 _MODEL_PANEL_SQL = f"""
@@ -41,7 +43,12 @@ _HIST_SQL = f"""
 
 
 def hist_rows(p: V.Panel):
-    return history_rows(model_panel(p), EVAL_START, LOOKBACK)
+    # a row's previous point lies at most 45 days before it
+    start = datetime.date.fromisoformat(EVAL_START)
+    months = start.year * 12 + start.month - 1 - LOOKBACK - 3
+    first = datetime.date(months // 12, months % 12 + 1, 1)
+    last = start - datetime.timedelta(days=1)
+    return history_rows(model_panel(p, first.isoformat(), last.isoformat()), EVAL_START, LOOKBACK)
 
 
 @register("training_rows", covers=("M1", "E8", "J4", "I5", "M3", "G1", "E12"),
@@ -56,7 +63,7 @@ def current_prices(p: V.Panel):
 
 
 def eval_rows(p: V.Panel, ordinal: bool = False):
-    targets = monthly_targets(real_monthly_panel(p), V.CUTOFF, V.TEST_END)
+    targets = monthly_targets(real_monthly_panel(p, V.TEST_END, after=V.CUTOFF), V.CUTOFF, V.TEST_END)
     return target_rows(targets, current_prices(p), EVAL_START, ordinal=ordinal)
 
 

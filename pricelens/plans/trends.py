@@ -10,27 +10,17 @@ from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.operators.asof import deflate
 from pricelens.operators.features import (
     annual_means, first_target, latest_real_price, market_index, monthly_targets,
-    price_near_offset, price_vs_market, yearly_trend)
+    price_vs_market, prices_near_offsets, yearly_trend)
 from pricelens.operators.aggregates import group_median
 from pricelens.operators.series import window_features, window_features_sql
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
 
 
-def real_monthly_panel(p: V.Panel, until: str | None = None):
-    """Monthly panel deflated to reference-year money (as-of index lookup)."""
-    if p.materialize:
-        pm = p.panel_m
-        if until is not None:
-            pm = pm.where(F.col("date") <= F.lit(until).cast("date"))
-        return deflate(pm, p.cpi, V.CPI_REF_YEAR, "price", F.year("date"))
-    pts = p.price_points
-    if until is not None:
-        # month_start(date) <= until  <=>  date < first day of the next month;
-        # written on the raw column so the bound reaches the parquet scan.
-        bound = F.trunc(F.add_months(F.lit(until).cast("date"), 1), "MM").cast("timestamp")
-        pts = V.price_points(p.table("lineitem").where(F.col("l_shipdate") < bound))
-    return deflate(V.panel_monthly(pts), p.cpi, V.CPI_REF_YEAR, "price", F.year("date"))
+def real_monthly_panel(p: V.Panel, until: str | None = None, after: str | None = None):
+    """Monthly panel (month starts in (after, until]) deflated to reference-year
+    money (as-of index lookup)."""
+    return deflate(p.panel_between(after, until), p.cpi, V.CPI_REF_YEAR, "price", F.year("date"))
 
 
 _REAL_PANEL_SQL = f"""
@@ -67,7 +57,7 @@ def real_price_trends(spark, sf_dir):
 
 # ----------------------------------------------------------------- yearly view
 def annual_real(p: V.Panel) -> DataFrame:
-    ann = annual_means(p.panel_m, V.CUTOFF)
+    ann = annual_means(p.panel_between(until=V.CUTOFF), None)
     real = deflate(ann, p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_price")
     return real.where(F.col("real_price").isNotNull())
 
@@ -142,13 +132,11 @@ REFERENCE_YEAR = V.CPI_REF_YEAR
 def release_prices(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
     it = p.items
-    rp = real_monthly_panel(p)
-    o12 = price_near_offset(rp, it, 12, V.CUTOFF, "real_price_at_12m")
-    o60 = price_near_offset(rp, it, 60, V.CUTOFF, "real_price_at_60m")
+    near = prices_near_offsets(real_monthly_panel(p, V.CUTOFF), it, {12: "real_price_at_12m", 60: "real_price_at_60m"}, V.CUTOFF)
     pm = deflate(p.platform_dim, p.cpi, V.CPI_REF_YEAR, "msrp", "launch_year", out="real_msrp") \
         .select("platform", "discontinued_year", "real_msrp")
     out = (it.join(F.broadcast(pm), "platform", "left")
-           .join(o12, "item_id", "left").join(o60, "item_id", "left"))
+           .join(near, "item_id", "left"))
     return out.select(
         "item_id", "real_price_at_12m", "real_price_at_60m", rnd("real_msrp", 4).alias("real_msrp"),
         F.when(F.col("real_price_at_60m").isNotNull() & (F.col("real_msrp") > 0),
@@ -180,7 +168,7 @@ def current_vs_genre(spark, sf_dir):
     it = p.items.select("item_id", "genre", F.coalesce("publisher", F.lit("Unknown")).alias("publisher"))
     with_cur = it.join(cur, "item_id", "left")
     med = group_median(with_cur.where(F.col("genre").isNotNull()), ["genre"], "current_real_price",
-                       out="genre_median_price", few_groups=True)                             # genres
+                       out="genre_median_price")
     # one row per genre: AQE broadcasts it at run time when it is small and
     # keeps a shuffle join otherwise (genres are data, not a fixed list)
     out = with_cur.join(med, "genre", "left")
@@ -204,7 +192,7 @@ _TARGETS_SQL = f"""
                                       ("targets", _TARGETS_SQL)))
 def monthly_targets_query(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
-    return monthly_targets(real_monthly_panel(p), V.CUTOFF, V.TEST_END)
+    return monthly_targets(real_monthly_panel(p, V.TEST_END, after=V.CUTOFF), V.CUTOFF, V.TEST_END)
 
 
 @register("target_summary", covers=("K10", "L17", "D15", "B9", "C6"),
@@ -221,9 +209,8 @@ def monthly_targets_query(spark, sf_dir):
     ON f.item_id = t.item_id""", ("real_panel", _REAL_PANEL_SQL), ("targets", _TARGETS_SQL)))
 def target_summary(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
-    first = first_target(monthly_targets(real_monthly_panel(p), V.CUTOFF, V.TEST_END))
-    post = p.panel_m.where((F.col("date") > F.lit(V.CUTOFF).cast("date")) &
-                           (F.col("date") <= F.lit(V.TEST_END).cast("date")) & (F.col("price") > 0))
+    first = first_target(monthly_targets(real_monthly_panel(p, V.TEST_END, after=V.CUTOFF), V.CUTOFF, V.TEST_END))
+    post = p.panel_between(V.CUTOFF, V.TEST_END).where(F.col("price") > 0)
     yearly = deflate(annual_means(post, None), p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_y")
     tp = yearly.where(F.col("real_y").isNotNull()).groupBy("item_id").agg(rnd(F.avg("real_y"), 2).alias("target_price"))
     return first.join(tp, "item_id", "full")

@@ -166,6 +166,25 @@ class Panel:
     def panel_m(self) -> DataFrame:
         return self._shared("panel_m", lambda: panel_monthly(self.price_points))
 
+    def panel_between(self, after: str | None = None, until: str | None = None) -> DataFrame:
+        """Monthly panel of the month starts in (after, until].  The bounds are
+        written on the raw column, so they reach the parquet scan."""
+        if self.materialize:
+            pm = self.panel_m
+            if after is not None:
+                pm = pm.where(F.col("date") > F.lit(after).cast("date"))
+            return pm if until is None else pm.where(F.col("date") <= F.lit(until).cast("date"))
+
+        def next_month(day: str):
+            # a month start is at most ``day`` if and only if the date lies before this
+            return F.trunc(F.add_months(F.lit(day).cast("date"), 1), "MM").cast("timestamp")
+        raw = self.table("lineitem")
+        if after is not None:
+            raw = raw.where(F.col("l_shipdate") >= next_month(after))
+        if until is not None:
+            raw = raw.where(F.col("l_shipdate") < next_month(until))
+        return panel_monthly(price_points(raw))
+
     @property
     def units(self) -> DataFrame:
         return self._shared("units", lambda: units(self.table("lineitem")))
