@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import text_bytes
-from pricelens.llm.components import components
+from pricelens.llm.components import apart, components
 from pricelens.llm.contamination import words_of
 from pricelens.llm.substrings import window_hashes
 from pricelens.session import checkpoint
@@ -39,9 +39,11 @@ THRESHOLD = 0.8
 RECALL = 0.99
 LEVELS = 6
 COORDINATES = 64
-# Sets of a node that are compared at once; sets of a group that are.
+# A node with more sets is split on; the chunks of one that is large at the last
+# level; the chunks of a group.
 BUCKET_SETS = 256
-GROUP_SETS = 1024
+LAST_SETS = 1024
+GROUP_SETS = 256
 # Share of equal coordinates below which two sets of a bucket are not similar:
 # six standard errors under the threshold.
 SKETCH_MARGIN = 0.3
@@ -114,7 +116,7 @@ def _step(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _counted(rows: DataFrame, by: str) -> DataFrame:
     """Rows of values of ``by`` that occur twice or more, with their number ``n``."""
-    times = rows.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed(by, "__by")
+    times = apart(rows.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed(by, "__by"))
     return rows.join(times, F.col(by) == F.col("__by")).drop("__by")
 
 
@@ -255,7 +257,7 @@ def _with_grams(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _joined(docs: DataFrame, n: int, threshold: float, recall: float, levels: int, id_col: str, text_col: str,
-            bucket_sets: int, group_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+            bucket_sets: int, last_sets: int, group_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (``doc_id``, ``row``, ``key``), classes of equal sets, and (``node``, ``root``, ``links``) of linked classes."""
     rows = _rows(docs, id_col, text_col)
     prints = checkpoint(_prints(rows, n))
@@ -277,7 +279,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, levels: in
             break
         rest = more.select("path", "key").join(sigs, F.col("key") == F.col("of")).drop("of")
 
-    dealt = _chunked(buckets, "path", bucket_sets).select("group", "key").join(sigs, F.col("key") == F.col("of")).drop("of")
+    dealt = _chunked(buckets, "path", max(bucket_sets, last_sets)).select("group", "key").join(sigs, F.col("key") == F.col("of")).drop("of")
     edges = _by_group(dealt, _similar_in_bucket(max(0.0, threshold - SKETCH_MARGIN)), "a long, b long", ["a", "b"])
     groups = checkpoint(_counted(components(edges).withColumnRenamed("root", "comp"), "comp"))
     wanted = groups.join(classes.select(F.col("key").alias("of"), "first_row", "copies"), F.col("node") == F.col("of")).select(
@@ -300,7 +302,8 @@ def _classed(classes: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS,
-                 id_col: str = "doc_id", text_col: str = "text", bucket_sets: int = BUCKET_SETS, group_sets: int = GROUP_SETS) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", bucket_sets: int = BUCKET_SETS, last_sets: int = LAST_SETS,
+                     group_sets: int = GROUP_SETS) -> DataFrame:
     """One row for each document with its class and its number of links.
 
     Two documents are linked if the Jaccard similarity of their word n-gram sets
@@ -316,9 +319,9 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     Repeated rows are documents like others.  An empty table gives an empty
     result; other columns are ignored whatever their names.
     """
-    rows, classes, linked = _joined(docs, n, threshold, recall, levels, id_col, text_col, bucket_sets, group_sets)
+    rows, classes, linked = _joined(docs, n, threshold, recall, levels, id_col, text_col, bucket_sets, last_sets, group_sets)
     each = _classed(classes, linked)
-    first = each.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r")
+    first = apart(each.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r"))
     each = each.join(first, F.col("root") == F.col("r")).select(F.col("key").alias("of"), "class_id", "first_id", "copies", "links")
     return rows.join(each, F.col("key") == F.col("of"), "left").select(
         "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -328,13 +331,14 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
 
 
 def keep_one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS,
-                     id_col: str = "doc_id", text_col: str = "text", bucket_sets: int = BUCKET_SETS, group_sets: int = GROUP_SETS) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", bucket_sets: int = BUCKET_SETS, last_sets: int = LAST_SETS,
+                     group_sets: int = GROUP_SETS) -> DataFrame:
     """The documents with the smallest id of their class, with all their columns.
 
     Edge cases as in :func:`jaccard_join`: documents without words all stay, of
     repeated rows one stays.  A column ``__row`` of the input is replaced.
     """
-    rows, classes, linked = _joined(docs, n, threshold, recall, levels, id_col, text_col, bucket_sets, group_sets)
+    rows, classes, linked = _joined(docs, n, threshold, recall, levels, id_col, text_col, bucket_sets, last_sets, group_sets)
     last = F.coalesce("first_id", F.lit((1 << 63) - 1))
     kept = _classed(classes, linked).groupBy("root").agg(F.min(F.struct(last.alias("id"), F.col("first_row"))).alias("x")).select(
         F.col("x.first_row").alias("__kept"), F.lit(True).alias("__once"))

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from pricelens.session import checkpoint
 
 
+def apart(sums: DataFrame) -> DataFrame:
+    """Sums by a key, dealt out once more before they are joined to the rows they sum.
+
+    Without this the join would use the aggregate's own partitions, and Spark
+    could not split the rows of a key that has very many.
+    """
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(``node``, ``root``) for every node of an edge; the root is the component's smallest node.
 
@@ -23,9 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        least = apart(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
         met = large.join(least, F.col("u") == F.col("w"))
         small = met.select(F.col("u"), F.col("m").alias("v")).unionByName(met.select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = checkpoint(small.filter("u > v").distinct())

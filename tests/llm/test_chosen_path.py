@@ -57,7 +57,7 @@ def corpus(rng, n=60, family=12):
 @pytest.mark.parametrize("bucket,group", [(256, 1024), (4, 5)])
 def test_matches_all_pairs(spark, docs_of, bucket, group):
     rows = corpus(random.Random(11))
-    got = C.jaccard_join(docs_of(rows), recall=0.9999, bucket_sets=bucket, group_sets=group)
+    got = C.jaccard_join(docs_of(rows), recall=0.9999, bucket_sets=bucket, last_sets=bucket, group_sets=group)
     want = brute(rows)
     assert sum(n for *_, n in want) > 300
     assert result(got) == want
