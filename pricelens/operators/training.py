@@ -63,9 +63,11 @@ def training_data(hist: DataFrame, evals: DataFrame | None, include_eval_rows: b
 
 def split_by_item(df: DataFrame, key: str = "item_id", val_pct: int = 10, seed: int = 42) -> DataFrame:
     """Group-aware split: every row of an item falls on the same side,
-    decided by a seeded hash of the key (no driver-side id list)."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < val_pct,
-                                         "validation").otherwise("train"))
+    decided by a seeded hash of the key (no driver-side id list; the hash is
+    one that other engines have too).  A NULL key is a group of its own."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("split", F.when(bucket < val_pct, "validation").otherwise("train"))
 
 
 def fit_target_encoding(train: DataFrame, cat: str, target: str) -> DataFrame:

@@ -89,10 +89,13 @@ def eval_rows_query(spark, sf_dir):
     return eval_rows(V.Panel(spark, sf_dir))
 
 
-@register("item_split", covers=("M5", "G3", "C17"))
+@register("item_split", covers=("M5", "G3", "C17"),
+          oracle=lambda: V.with_views("""
+    SELECT *, CASE WHEN CAST('0x' || substr(md5('42:' || CAST(item_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10
+                   THEN 'validation' ELSE 'train' END AS split FROM hist""",
+                                      ("model_panel", _MODEL_PANEL_SQL), ("hist", _HIST_SQL)))
 def item_split(spark, sf_dir):
-    """Group-aware 90/10 split of training rows by item (rows-only check:
-    the seeded hash has no SQL twin in the oracle engine)."""
+    """Group-aware 90/10 split of training rows by item."""
     rows = split_by_item(hist_rows(V.Panel(spark, sf_dir)))
     train_ids = rows.where(F.col("split") == "train").select("item_id").distinct()
     val = rows.join(train_ids, "item_id", "left_anti")          # validation = all - train
