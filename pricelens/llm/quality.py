@@ -28,9 +28,11 @@ MAX_REPEAT_PERCENT = 30
 # Share of a document's word characters that its failing lines may hold.
 MAX_LOST = 0.5
 # A line passes the punctuation rule if it ends like a sentence, a list item or
-# an introduction; closing quotes and brackets may follow.
+# an introduction (closing quotes and brackets may follow), or if a sentence
+# ends within it: a paragraph may close with a number, a name or an address.
 TERMINAL = ".!?…:;。！？।؟"
 CLOSERS = "\"'”’»)]}*_"
+SENTENCE_END = re.compile(r"\w[.?…。？।؟][\"'”’»)]*\s")
 # Navigation: so many separators, and at most so many words between two.
 SEPARATORS = re.compile(r"[|»›•·→]|\s[>/]\s")
 MIN_SEPARATORS = 3
@@ -42,8 +44,8 @@ BOILERPLATE = re.compile(
     r"(?:sign|log) ?(?:in|up|out) (?:to|for|with)|subscribe to our|share (?:this )?on|follow us on|"
     r"click here|read more|back to top|skip to (?:main )?content|powered by)\b", re.IGNORECASE)
 MAX_BOILERPLATE_WORDS = 25
-# Noise: a line in which so large a share of the words carries a symbol run or
-# shouts is no prose.
+# Noise: a line in which so large a share of the words carries a symbol run,
+# shouts or repeats the word before it is no prose.
 NOISY_WORD = re.compile(r"([#*$%&<>=~^@])\1\1|!!")
 MAX_NOISY = 0.5
 
@@ -62,9 +64,9 @@ def line_failure(line: str) -> str | None:
             return "navigation"
     if len(words) <= MAX_BOILERPLATE_WORDS and BOILERPLATE.search(bare):
         return "boilerplate"
-    if sum(1 for w in words if NOISY_WORD.search(w)) > MAX_NOISY * len(words):
+    if sum(1 for w, before in zip(words, ["", *words]) if w == before or NOISY_WORD.search(w)) > MAX_NOISY * len(words):
         return "noise"
-    if not bare.rstrip(CLOSERS).endswith(tuple(TERMINAL)):
+    if not bare.rstrip(CLOSERS).endswith(tuple(TERMINAL)) and not SENTENCE_END.search(bare):
         return "punctuation"
     return None
 

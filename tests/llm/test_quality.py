@@ -52,8 +52,9 @@ def test_line_rules():
     assert line_failure("Home | About | Products | Contact | Login") == "navigation"
     assert line_failure("Please read our privacy policy here.") == "boilerplate"
     assert line_failure("wh*** reed&&& the%%% on$$$") == "noise"
+    assert line_failure("Ha. Ha. Ha. Ha. Ha.") == "noise"
     assert line_failure("no end of sentence here at all") == "punctuation"
-    for good in ("A sentence.", "", "He said “yes.”", "What? (Really!)", "See:", "a | b is a pipe in prose."):
+    for good in ("A sentence.", "", "He said “yes.”", "What? (Really!)", "See:", "a | b is a pipe in prose.", "One sentence. Call 555 0101"):
         assert line_failure(good) is None
 
 
