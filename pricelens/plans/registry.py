@@ -42,4 +42,4 @@ def all_queries() -> dict[str, Query]:
 def _load() -> None:
     # Importing the plan modules registers their queries.
     from pricelens.plans import trends, cleaning, franchise, matching, ingest, documents, learning, forecast, index  # noqa: F401
-    from pricelens.plans import cases, features, model  # noqa: F401
+    from pricelens.plans import cases, features, merged, model  # noqa: F401
