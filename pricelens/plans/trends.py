@@ -281,3 +281,24 @@ def landed_dates(spark, sf_dir):
     return d.groupBy("item_id").agg(F.count("d").alias("n_parsed"),
                                     (F.count(F.lit(1)) - F.count("d")).alias("n_rejected"),
                                     F.min("d").alias("first_date"))
+
+
+ROLLING = (3, 6, 12)
+
+
+def _rolling_sql() -> str:
+    cols = []
+    for n in ROLLING:
+        w = f"OVER (PARTITION BY item_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        cols += [f"CASE WHEN count(price) {w} >= 2 THEN {rnd_sql(f'regr_slope(price, pos) {w} * 12', 4)} END AS slope_last_{n}",
+                 f"CASE WHEN count(price) {w} >= 2 THEN {rnd_sql(f'stddev_pop(price) {w}', 4)} END AS std_last_{n}"]
+    return f"""SELECT item_id, date, {', '.join(cols)} FROM (
+        SELECT item_id, date, price, CAST(row_number() OVER (PARTITION BY item_id ORDER BY date) AS DOUBLE) AS pos
+        FROM panel_m WHERE price IS NOT NULL) x"""
+
+
+@register("rolling_slices", covers=("E12", "N5", "D17", "D18"), oracle=lambda: V.with_views(_rolling_sql()))
+def rolling_slices_query(spark, sf_dir):
+    """Slope and deviation of the last 3, 6 and 12 monthly prices at every point."""
+    from pricelens.operators.series import rolling_slices
+    return rolling_slices(V.Panel(spark, sf_dir).panel_m, ROLLING)
