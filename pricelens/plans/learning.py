@@ -51,7 +51,7 @@ def hist_rows(p: V.Panel):
     return history_rows(model_panel(p, first.isoformat(), last.isoformat()), EVAL_START, LOOKBACK)
 
 
-@register("training_rows", covers=("M1", "E8", "J4", "I5", "M3", "G1", "E12"),
+@register("training_rows", covers=("M1", "E8", "J4", "I5"),
           oracle=lambda: V.with_views("SELECT *, 'history' AS source FROM hist",
                                       ("model_panel", _MODEL_PANEL_SQL), ("hist", _HIST_SQL)))
 def training_rows(spark, sf_dir):
@@ -89,6 +89,19 @@ def eval_rows_query(spark, sf_dir):
     return eval_rows(V.Panel(spark, sf_dir))
 
 
+@register("training_union", covers=("M3", "G1", "B2"),
+          oracle=lambda: V.with_views("""
+    SELECT *, NULL::DOUBLE AS actual_real_price, 'history' AS source FROM hist WHERE log_return IS NOT NULL
+    UNION ALL BY NAME SELECT *, 'target' AS source FROM ev WHERE log_return IS NOT NULL""",
+    ("model_panel", _MODEL_PANEL_SQL), ("hist", _HIST_SQL), ("real_panel", _REAL_PANEL_SQL),
+    ("targets", _TARGETS_SQL), ("cur", _CUR_SQL), ("ev", _EVAL_SQL)))
+def training_union(spark, sf_dir):
+    """History rows and target rows in one table, rows without a target dropped
+    (what the in-sample training of the production run uses)."""
+    p = V.Panel(spark, sf_dir)
+    return training_data(hist_rows(p), eval_rows(p), include_eval_rows=True)
+
+
 @register("item_split", covers=("M5", "G3", "C17"),
           oracle=lambda: V.with_views("""
     SELECT *, CASE WHEN CAST('0x' || substr(md5('42:' || CAST(item_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10
