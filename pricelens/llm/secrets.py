@@ -18,7 +18,6 @@ import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,14 +147,23 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "do
     chunk = index.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("t", "keys"))).alias("lists"))
     none = F.array().cast("array<bigint>")
 
-    def postings_of(gram: str) -> F.Column:
-        return F.coalesce(F.try_element_at("lists", F.lit(terms[gram])), none)
+    def every(items: F.Column, postings) -> F.Column:
+        """Keys that are in the postings of all items."""
+        rest = F.slice(items, F.lit(2), F.size(items))
+        return F.aggregate(rest, postings(items[0]), lambda keys, item: F.array_intersect(keys, postings(item)))
 
-    def matching(query) -> F.Column:
-        groups = [reduce(F.array_union, [reduce(F.array_intersect, [postings_of(t) for t in sorted(alt)]) for alt in g]) for g in query]
-        return reduce(F.array_intersect, groups)
+    def of_trigram(t: F.Column) -> F.Column:
+        return F.coalesce(F.try_element_at("lists", t), none)
 
-    found = chunk.select(F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), matching(q).alias("keys")) for i, q in queries.items()])).alias("x"))
+    def of_group(alternatives: F.Column) -> F.Column:
+        return F.array_distinct(F.flatten(F.transform(alternatives, lambda alt: every(alt, of_trigram))))
+
+    # the queries are data: rule -> groups -> alternatives -> trigram numbers
+    number = lambda alt: F.array(*[F.lit(terms[t]) for t in sorted(alt)])
+    rule_queries = F.array(*[F.struct(F.lit(i).alias("rule"), F.array(*[F.array(*map(number, g)) for g in q]).alias("groups"))
+                             for i, q in queries.items()])
+    found = chunk.select(F.explode(F.transform(rule_queries, lambda r: F.struct(
+        r["rule"].alias("rule"), every(r["groups"], of_group).alias("keys")))).alias("x"))
     return (found.select(F.col("x.rule").alias("rule"), F.explode("x.keys").alias("__key"))
             .groupBy("__key").agg(F.collect_set("rule").alias("__rules")))
 
