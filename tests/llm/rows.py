@@ -1,5 +1,6 @@
 import pytest
 
+# Imported by the tests that need it: a second conftest would hide the one of the folder above.
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.llm import chosen_path as C
 from pricelens.llm.common import table
 from pricelens.llm.components import components
+from rows import docs_of  # noqa: F401
 
 
 def shingles(text):

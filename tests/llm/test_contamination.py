@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pricelens.llm import contamination as C
 from pricelens.llm.queries import QUERIES
 from oracle import duck, same
+from rows import docs_of  # noqa: F401
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pricelens.llm import licenses as L
 from pricelens.llm.common import table
 from pricelens.llm.queries import QUERIES
+from rows import docs_of  # noqa: F401
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelens.llm import mixing as M
 from pricelens.llm.common import table
 from pricelens.llm.queries import QUERIES
+from rows import docs_of  # noqa: F401
 
 
 def targets(sizes, weights=(5, 2, 1), most=3):

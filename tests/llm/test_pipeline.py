@@ -8,6 +8,7 @@ from pricelens.llm.common import table
 from test_chosen_path import brute as near
 from test_contamination import words
 from test_secrets import brute as secrets
+from rows import docs_of  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.common import table
 from pricelens.llm.quality import line_failure, quality_rules
+from rows import docs_of  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

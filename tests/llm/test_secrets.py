@@ -7,6 +7,7 @@ from pricelens.llm import secrets as S
 from pricelens.llm.common import table
 from pricelens.llm.queries import QUERIES
 from oracle import duck, same
+from rows import docs_of  # noqa: F401
 
 
 def brute(text):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.llm import substrings as S
 from pricelens.llm.queries import QUERIES
 from oracle import duck, same
+from rows import docs_of  # noqa: F401
 
 
 def brute(rows, window):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.common import table
 from pricelens.llm.tokens import VOCABULARY, Automaton, greedy_count, load_vocabulary, token_counts
+from rows import docs_of  # noqa: F401
 
 PIECES = [bytes([b]) for b in range(256)] + [b" a", b" ab", b"abc", b" abcde", b"bc", b"cd", b"def", b"aaaa", b"aa"]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pricelens.llm import toxicity as T
 from pricelens.llm.common import table
+from rows import docs_of  # noqa: F401
 
 LABELS = "doc_id long, quality int, toxic int"
 
