@@ -36,6 +36,8 @@ FOLDS = 5
 MIN_Z = 5.0             # a word's least association with a category, in standard errors
 RIDGE = 0.05
 RATIOS = 4
+# Rows that the driver's sums work on at a time.
+BLOCK_ROWS = 500
 
 
 def ratios(text: str, words: Sequence[bytes], distinct: int) -> list[float]:
@@ -78,32 +80,43 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_words
         weights = np.zeros(dense.shape[1] + 1)
         weights[-1] = np.log((pos + 0.5) / (n - pos + 0.5))
         return Linear(np.empty(0, np.int64), weights)
-    size = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if size.sum() else np.empty(0, np.int64)
-    df = np.bincount(flat, minlength=n_words)
-    dp = np.bincount(flat, weights=np.repeat(y, size), minlength=n_words)
+    dp, dn = (document_counts([r for r, is_one in zip(rows, y) if is_one == k], n_words) for k in (1, 0))
+    df = dp + dn
     # difference of a word's document share between the classes, in standard errors
     share = (df + 1) / (n + 2)
-    z = (dp / pos - (df - dp) / (n - pos)) / np.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
+    z = (dp / pos - dn / (n - pos)) / np.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
     words = np.argsort(-np.abs(z), kind="stable")[:most]
     words = np.sort(words[np.abs(z[words]) >= MIN_Z])
-    x = np.column_stack((indicator(rows, words), dense, np.ones(n)))
+    x = np.column_stack((indicator(rows, words), dense.astype(np.float32), np.ones(n, np.float32)))
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     w[-1] = np.log(pos / (n - pos))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        bend, slope = np.diag(penalty + 1e-9), -penalty * w
+        for a in range(0, n, BLOCK_ROWS):
+            part = x[a:a + BLOCK_ROWS].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            bend += part.T @ (part * (p * (1 - p))[:, None])
+            slope += part.T @ (y[a:a + BLOCK_ROWS] - p)
+        step = np.linalg.solve(bend, slope)
         w = w + step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return Linear(words, w)
 
 
+def document_counts(rows: list[np.ndarray], n_words: int) -> np.ndarray:
+    """In how many rows each word stands."""
+    total = np.zeros(n_words, np.int64)
+    for a in range(0, len(rows), BLOCK_ROWS):
+        total += np.bincount(np.concatenate(rows[a:a + BLOCK_ROWS]), minlength=n_words)
+    return total
+
+
 def indicator(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     """0/1 matrix of the chosen words."""
-    out = np.zeros((len(rows), len(words)))
+    out = np.zeros((len(rows), len(words)), np.float32)
     if len(words):
         for i, r in enumerate(rows):
             at = np.searchsorted(words, r)
@@ -182,13 +195,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
     # of the sample's copies one counts, lest what a copied text happens to hold looks telling
     table = sample.mapInArrow(numbers, schema).toArrow().sort_by("id")
     _, first = np.unique(table.column("copy").to_numpy(), return_index=True)
-    got = table.take(np.sort(first)).to_pydict()
-    rows = [np.array(r, np.int64) for r in got["words"]]
-    dense = np.array(got["ratios"], float).reshape(len(rows), RATIOS)
+    table = table.take(np.sort(first)).combine_chunks()
+    words = table.column("words").combine_chunks()
+    # views of one flat array, not a Python number for each word
+    flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    dense = np.array(table.column("ratios").to_pylist(), float).reshape(len(rows), RATIOS)
     fold = np.arange(len(rows)) % folds
     chain = Chain(names, vocabulary)
     for name in names:
-        y = np.array(got[name], float)
+        y = table.column(name).to_numpy().astype(float)
         out_of_fold = np.zeros(len(rows))
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
