@@ -81,6 +81,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables that later sessions read too: the configured checkpoint
+    folder itself (of a local-mode session without one, its scratch folder)."""
+    own = ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or own
+
+
 def checkpoint(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

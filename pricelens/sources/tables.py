@@ -28,6 +28,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Existing paths of a glob pattern, sorted, in any file system Spark reads."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
     """CSV with a fixed schema; never inferred (inference is a full extra pass)."""
     return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
