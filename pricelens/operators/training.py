@@ -101,7 +101,7 @@ def apply_target_encoding(df: DataFrame, encoding: DataFrame, cat: str, out: str
 
 def error_weights(errors: DataFrame, key: str = "item_id", err: str = "ape", lo: float = 0.5,
                   hi: float = 3.0) -> DataFrame:
-    """Per-item sample weights from out-of-fold errors:
+    """Per-item sample weights from errors:
     ``clip(mean_err / max(median(mean_err), 1), lo, hi)``.  The median is a
     single scalar (distinct-value counted, so its buffer is bounded by the
     distinct errors), read once."""
