@@ -29,9 +29,11 @@ def _key(name: str) -> str:
     return "id" if name in ("document_flatten", "rerelease_summary") else "item_id"
 
 
-def item_features(spark, sf_dir):
+def item_features(spark, sf_dir, scope=None):
+    """Every feature of every item, as of the scope's cutoff; in a merged scope
+    only included items, their corrected years and prices, also in the medians."""
     from pricelens.plans import views as V
-    with V.materialized(spark, sf_dir):
+    with V.materialized(spark, sf_dir, scope):
         return _item_features(spark, sf_dir)
 
 
@@ -65,4 +67,13 @@ def _oracle() -> str:
 
 register("item_features", oracle=_oracle, headline=True,
          covers=("L20", "L9", "L10", "L11", "L12", "L13", "L14", "L15", "L16", "C1", "C2", "C3", "L19"))(item_features)
+
+
+@register("production_features", covers=("L20",))
+def production_features(spark, sf_dir):
+    """The feature table of the production run: all history, included items."""
+    from pricelens.plans import views as V
+    return item_features(spark, sf_dir, V.PRODUCTION)
+
+
 _ = (cleaning, documents, franchise, trends)

@@ -44,11 +44,11 @@ _HIST_SQL = f"""
 
 def hist_rows(p: V.Panel):
     # a row's previous point lies at most 45 days before it
-    start = datetime.date.fromisoformat(EVAL_START)
+    start = datetime.date.fromisoformat(p.scope.start)
     months = start.year * 12 + start.month - 1 - LOOKBACK - 3
     first = datetime.date(months // 12, months % 12 + 1, 1)
     last = start - datetime.timedelta(days=1)
-    return history_rows(model_panel(p, first.isoformat(), last.isoformat()), EVAL_START, LOOKBACK)
+    return history_rows(model_panel(p, first.isoformat(), last.isoformat()), p.scope.start, LOOKBACK)
 
 
 @register("training_rows", covers=("M1", "E8", "J4", "I5"),

@@ -52,12 +52,12 @@ def _trends_sql() -> str:
                   "E6", "E7", "D17", "D18", "I3", "I6", "J3"))
 def real_price_trends(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
-    return window_features(real_monthly_panel(p, V.CUTOFF), V.CUTOFF)
+    return window_features(real_monthly_panel(p, p.scope.cutoff), p.scope.cutoff)
 
 
 # ----------------------------------------------------------------- yearly view
 def annual_real(p: V.Panel) -> DataFrame:
-    ann = annual_means(p.panel_between(until=V.CUTOFF), None)
+    ann = annual_means(p.panel_between(until=p.scope.cutoff), None)
     real = deflate(ann, p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_price")
     return real.where(F.col("real_price").isNotNull())
 
@@ -132,7 +132,8 @@ REFERENCE_YEAR = V.CPI_REF_YEAR
 def release_prices(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
     it = p.items
-    near = prices_near_offsets(real_monthly_panel(p, V.CUTOFF), it, {12: "real_price_at_12m", 60: "real_price_at_60m"}, V.CUTOFF)
+    cutoff = p.scope.cutoff
+    near = prices_near_offsets(real_monthly_panel(p, cutoff), it, {12: "real_price_at_12m", 60: "real_price_at_60m"}, cutoff)
     pm = deflate(p.platform_dim, p.cpi, V.CPI_REF_YEAR, "msrp", "launch_year", out="real_msrp") \
         .select("platform", "discontinued_year", "real_msrp")
     out = (it.join(F.broadcast(pm), "platform", "left")
@@ -164,7 +165,7 @@ def release_prices(spark, sf_dir):
                   FROM real_panel WHERE date <= DATE '{V.CUTOFF}' GROUP BY item_id) x""")))
 def current_vs_genre(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
-    cur = latest_real_price(real_monthly_panel(p, V.CUTOFF), V.CUTOFF)
+    cur = latest_real_price(real_monthly_panel(p, p.scope.cutoff), p.scope.cutoff)
     it = p.items.select("item_id", "genre", F.coalesce("publisher", F.lit("Unknown")).alias("publisher"))
     with_cur = it.join(cur, "item_id", "left")
     med = group_median(with_cur.where(F.col("genre").isNotNull()), ["genre"], "current_real_price",
@@ -209,8 +210,9 @@ def monthly_targets_query(spark, sf_dir):
     ON f.item_id = t.item_id""", ("real_panel", _REAL_PANEL_SQL), ("targets", _TARGETS_SQL)))
 def target_summary(spark, sf_dir):
     p = V.Panel(spark, sf_dir)
-    first = first_target(monthly_targets(real_monthly_panel(p, V.TEST_END, after=V.CUTOFF), V.CUTOFF, V.TEST_END))
-    post = p.panel_between(V.CUTOFF, V.TEST_END).where(F.col("price") > 0)
+    cutoff = p.scope.cutoff
+    first = first_target(monthly_targets(real_monthly_panel(p, V.TEST_END, after=cutoff), cutoff, V.TEST_END))
+    post = p.panel_between(cutoff, V.TEST_END).where(F.col("price") > 0)
     yearly = deflate(annual_means(post, None), p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_y")
     tp = yearly.where(F.col("real_y").isNotNull()).groupBy("item_id").agg(rnd(F.avg("real_y"), 2).alias("target_price"))
     return first.join(tp, "item_id", "full")

@@ -18,6 +18,8 @@ oracle queries are written over the twins.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,23 @@ MIN_RECORDS = 20
 YEAR_FLOOR = 1995
 
 
+@dataclass(frozen=True)
+class Scope:
+    """What a run sees: history up to ``cutoff``, forecasts from ``start`` to
+    ``end``; ``merged``: only the included items of the merged table, with
+    corrected release years."""
+
+    cutoff: str = CUTOFF
+    start: str = "2000-01-01"
+    end: str = TEST_END
+    merged: bool = False
+
+
+EVAL = Scope()
+# All history; 72 forecast months, as many as the reference's production run.
+PRODUCTION = Scope(AS_OF, "2001-12-01", "2007-11-30", merged=True)
+
+
 # ---------------------------------------------------------------- Spark side
 def items(part: DataFrame) -> DataFrame:
     pk = F.col("p_partkey")
@@ -140,6 +159,8 @@ class Panel:
             return
         self.spark, self.sf_dir = spark, sf_dir
         self.materialize = False
+        self.scope = EVAL
+        self.included: DataFrame | None = None
         self._memo: dict = {}
         self._ready = True
 
@@ -156,7 +177,7 @@ class Panel:
 
     @property
     def items(self) -> DataFrame:
-        return self._shared("items", lambda: items(self.table("part")))
+        return self._shared("items", lambda: self._only_included(items(self.table("part"))))
 
     @property
     def price_points(self) -> DataFrame:
@@ -164,7 +185,15 @@ class Panel:
 
     @property
     def panel_m(self) -> DataFrame:
-        return self._shared("panel_m", lambda: panel_monthly(self.price_points))
+        return self._shared("panel_m", lambda: self._only_included(panel_monthly(self.price_points)))
+
+    def _only_included(self, df: DataFrame) -> DataFrame:
+        """In a merged scope the rows of included items, their release year the corrected one."""
+        if self.included is None:
+            return df
+        if "release_year" not in df.columns:
+            return df.join(self.included, "item_id", "left_semi")
+        return df.drop("release_year").join(self.included, "item_id").select(*df.columns)
 
     def panel_between(self, after: str | None = None, until: str | None = None) -> DataFrame:
         """Monthly panel of the month starts in (after, until].  The bounds are
@@ -199,24 +228,42 @@ class Panel:
 
 
 class materialized:
-    """Context in which all Panel(spark, sf_dir) share materialised tables."""
+    """Context in which all Panel(spark, sf_dir) share materialised tables, cut
+    to ``scope``.  Without a scope, an enclosing context's panel is used."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, scope: Scope | None = None):
         self.key = (spark.sparkContext.applicationId, sf_dir)
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.scope = spark, sf_dir, scope
         self.owner = False
 
     def __enter__(self) -> Panel:
-        if self.key not in Panel._active:
-            p = Panel(self.spark, self.sf_dir)
-            p.materialize = True
+        self.outer = Panel._active.get(self.key)
+        if self.outer is None or self.scope not in (None, self.outer.scope):
+            p = object.__new__(Panel)
+            p.__init__(self.spark, self.sf_dir)
+            p.materialize, p.scope = True, self.scope or EVAL
+            if p.scope.merged:
+                p.included = self._included()
             Panel._active[self.key] = p
             self.owner = True
         return Panel._active[self.key]
 
+    def _included(self) -> DataFrame:
+        """Id and corrected release year of the merged table's included rows
+        (its sales match adds columns, no rows)."""
+        from pricelens.operators.cleaning import exclusion_reason
+        from pricelens.plans.cleaning import classified
+        from pricelens.session import checkpoint
+        whole = object.__new__(Panel)
+        whole.__init__(self.spark, self.sf_dir)
+        kept = classified(whole).where(exclusion_reason(MIN_RECORDS).isNull())
+        return checkpoint(kept.select("item_id", "release_year"))
+
     def __exit__(self, *exc) -> None:
         if self.owner:
             Panel._active.pop(self.key, None)
+            if self.outer is not None:
+                Panel._active[self.key] = self.outer
 
 
 # ------------------------------------------------------------------ SQL side
