@@ -19,12 +19,36 @@ def test_held_out_accuracy(spark):
     assert len(got) > 1000
     clean = [r for r in got if not r.toxic]
     assert sum(r.is_toxic for r in clean) <= 0.005 * len(clean)
-    # in these tables only the English toxic texts of good quality hold toxic words
     toxic = [r for r in got if r.toxic and r.quality and r.lang == "en"]
     assert len(toxic) > 50 and sum(r.is_toxic for r in toxic) >= 0.99 * len(toxic)
     assert sum(r.is_low_quality == (r.quality == 0) for r in got) >= 0.85 * len(got)
 
 
+def test_held_out_recall_in_every_language(spark, capsys):
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    got = []
+    for k in range(3):                   # every labelled toxic document is held out once
+        chain = T.fit_chain(docs, labels.filter(f"doc_id % 3 != {k}"), T.label_categories())
+        held = labels.filter(f"doc_id % 3 = {k} AND toxic = 1").join(docs.select("doc_id", "lang"), "doc_id")
+        got += T.score(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), chain).join(held, "doc_id").collect()
+    assert len({r.doc_id for r in got}) > 400
+    langs = sorted({r.lang for r in got})
+    assert {"de", "en", "es", "fr"} <= set(langs)
+    recall = {}
+    for good in (1, 0):
+        for lang in langs:
+            hits = [r.is_toxic for r in got if r.lang == lang and r.quality == good]
+            if hits:
+                recall[good, lang] = sum(hits), len(hits)
+    with capsys.disabled():
+        print("\nheld-out recall (quality, language): found, labelled", recall)
+    for lang in langs:
+        found, n = recall[1, lang]
+        assert n > 10 and found >= 0.85 * n, (lang, recall)
+    assert any(not good for good, _ in recall)
+
+
 def test_newton_reaches_the_optimum():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(400)]
