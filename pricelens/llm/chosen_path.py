@@ -74,12 +74,28 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).astype(np.int32)
 
 
-def runs_for(recall: float, threshold: float, levels: int) -> int:
-    """Runs until a pair at the threshold meets with the target recall, even in the deepest node."""
+def meeting(share: float, threshold: float, levels: int) -> float:
+    """Probability that two sets of which a ``share`` of the coordinates agrees meet in one run, in the deepest node."""
     extra, p = 1 / threshold - 1, 1.0
     for _ in range(levels):
-        p = (1 - extra) * threshold * p + extra * (1 - (1 - threshold * p) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        # two drawn coordinates differ
+        one, both = share, share * max(0.0, share * COORDINATES - 1) / (COORDINATES - 1)
+        p = (1 - extra) * one * p + extra * (2 * (one - both) * p + both * (1 - (1 - p) ** 2))
+    return p
+
+
+def runs_for(recall: float, threshold: float, levels: int) -> int:
+    """Runs until a pair at the threshold meets with the target recall, even in the deepest node.
+
+    All runs draw from the same coordinates, so they are independent only given
+    how many of these agree: the failure is averaged over that number.
+    """
+    agree = [math.comb(COORDINATES, k) * threshold ** k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    met = [meeting(k / COORDINATES, threshold, levels) for k in range(COORDINATES + 1)]
+    runs = 1
+    while sum(a * (1 - p) ** runs for a, p in zip(agree, met)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _prints(docs: DataFrame, n: int) -> DataFrame:

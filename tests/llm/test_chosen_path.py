@@ -106,6 +106,34 @@ def test_runs_and_signatures():
     assert both[0, 1] == 800 and both[2, 0] == 10 and both[1, 1] == len(b)
 
 
+@pytest.mark.parametrize("levels", [1, 3, 6])
+def test_runs_that_share_coordinates_reach_the_recall(levels):
+    rng = np.random.default_rng(levels)
+    n, k = 100_000, C.COORDINATES
+    agree = rng.binomial(k, 0.8, n)
+    found = np.zeros(n, bool)
+    for _ in range(C.runs_for(0.99, 0.8, levels)):
+        nodes = np.ones(n, int)              # nodes that both sets of a pair reach
+        for _ in range(levels):
+            double = rng.binomial(nodes, 1 / 0.8 - 1)
+            nodes = rng.binomial(nodes + double, agree / k)
+        found |= nodes > 0
+    assert found.mean() >= 0.99 - 0.001
+
+
+def test_deep_trees_find_pairs_at_the_threshold(spark, docs_of):
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        # 90 n-grams, of which 10 hold the changed words: similarity 80 / 100
+        a = [f"w{i}x{j}" for j in range(94)]
+        b = [f"c{w}" if j in (20, 60) else w for j, w in enumerate(a)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    rng.shuffle(rows)
+    got = C.jaccard_join(docs_of(rows), bucket_sets=1, last_sets=1)
+    assert got.filter("n_links = 1").count() >= 0.98 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(90)]
