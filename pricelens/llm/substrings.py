@@ -3,7 +3,8 @@
 A window of ``window`` words is removed from a document if the same words start
 in a document with a smaller id; removed windows merge into maximal intervals.
 
-Documents are hashed into blocks.  A block hashes every window of its texts and
+Rows are hashed into blocks by id and text; equal rows of a batch are counted
+as one.  A block hashes every window of its texts and
 then works in two rounds over hash buckets:
 
 1. Of every distinct window of a block, the bucket number and 32 more bits of
@@ -23,6 +24,7 @@ partition is computed again with the same result.  The texts are shuffled once
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,8 @@ class Block:
         ids = table.column("doc_id").to_pylist()
         texts = table.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        times = table.column("times").to_pylist()
+        self.times = [times[i] for i in order]
         self.ids, self.texts, self.window = [ids[i] for i in order], [texts[i] or b"" for i in order], window
         parts, self.n_words = [], []
         for doc_id, text in zip(self.ids, self.texts):
@@ -130,6 +134,21 @@ def _prints(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
+def blocked(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows (``doc_id``, ``text``) with their ``block``; equal rows of a batch are one with their number ``times``.
+
+    Rows of one id may be in different blocks: ids are compared strictly.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.schema.names
+            once = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
+            yield from once.select([*keys, "count_all"]).rename_columns([*keys, "times"]).to_batches()
+
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
+    return rows.withColumn("block", block).mapInArrow(counted, "doc_id long, text string, block long, times long")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                      block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, with_text: bool = True) -> DataFrame:
     """Remove repeated word windows; one output row for each input row.
@@ -155,7 +174,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(1, total // block_bytes, min(partitions, total // LEAST_BLOCK_BYTES))
     bits = max(4, (total // bucket_bytes).bit_length())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)))
+    rows = blocked(rows, n_blocks)
 
     def count_prints(table: pa.Table) -> pa.Table:
         seen, _ = Block(table, window).distinct()
@@ -191,7 +210,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                      ("intervals", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()),
-                     *([("kept_text", pa.string())] if with_text else [])])
+                     *([("kept_text", pa.string())] if with_text else []), ("times", pa.int64())])
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         results = []
@@ -209,7 +228,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                     at = y
                 left = b" ".join(kept + words[at:])
                 results.append((block.ids[i], len(words), sum(y - x for x, y in spans), spans, hashlib.sha256(left).hexdigest(),
-                                *([left.decode("utf-8", "replace")] if with_text else [])))
+                                *([left.decode("utf-8", "replace")] if with_text else []), block.times[i]))
         columns = list(zip(*results)) or [[] for _ in out]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
@@ -218,8 +237,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     found = (rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_hashes, "bucket long, block long, hashes binary, ids binary")
              .groupBy("bucket").applyInArrow(smaller_elsewhere, "block long, bucket long, hashes binary"))
     schema = ("doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept_sha256 string"
-              + (", kept_text string" if with_text else ""))
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, schema)
+              + (", kept_text string" if with_text else "") + ", times long")
+    once = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, schema)
+    # equal rows come back as often as they stood there
+    again = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    return once.select("*", again.alias("again")).drop("times", "again")
 
 
 QUERY_SQL = r"""

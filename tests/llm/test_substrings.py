@@ -57,6 +57,16 @@ def test_matches_brute_force(spark, docs_of, monkeypatch, block, bucket):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_rows_of_one_id_or_text_are_spread(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_BLOCK_BYTES", 200)
+    passage = " ".join("abcdefgh")
+    rows = [(7, f"{passage} only{i}") for i in range(100)] + [(8, passage)] * 100 + [(None, passage)] * 100 + [(3, passage), (9, passage)]
+    docs = docs_of(rows)
+    per_block = S.blocked(docs.select("doc_id", "text").coalesce(1), 20).groupBy("block").agg(F.count("*").alias("n"), F.sum("times").alias("t")).collect()
+    assert max(r.n for r in per_block) <= 20 and sum(r.t for r in per_block) == len(rows)
+    assert digest(S.dedup_substrings(docs, window=5, block_bytes=300, bucket_bytes=200)) == brute(rows, 5)
+
+
 def test_edge_rows(spark, docs_of):
     long_ = " ".join(f"w{i}" for i in range(60_000))
     part = " ".join(f"w{i}" for i in range(100, 140))
