@@ -87,6 +87,33 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
                                 r"(?: \d 0)?(?: international| unported)?(?: public)? license", r"creative commons license")),
 }
 
+_V = r"(?:version |v ?)?"
+_UNDER = r"under (?:the )?(?:terms of (?:the )?)?"
+# Short names: keyword, pattern.  A name that also means other things needs a
+# version or a grant.
+SHORT: dict[str, tuple[tuple[str, str], ...]] = {
+    "gpl": (("gpl", r"gpl"),),
+    "lgpl": (("lgpl", r"lgpl"),),
+    "lgpl-2.1": (("lgpl", rf"lgpl {_V}2 1"), ("lgplv2", r"lgplv2 1")),
+    "lgpl-3.0": (("lgpl", rf"lgpl {_V}3(?: 0)?"), ("lgplv3", r"lgplv3")),
+    "agpl": (("agpl", r"agpl"),),
+    "agpl-3.0": (("agpl", rf"agpl {_V}3(?: 0)?"), ("agplv3", r"agplv3")),
+    "fdl": (("gfdl", r"gfdl"),),
+    "mpl": (("mpl", _UNDER + r"mpl"),),
+    "mpl-1.1": (("mpl", rf"mpl {_V}1 1"),),
+    "mpl-2.0": (("mpl", rf"mpl {_V}2(?: 0)?"),),
+    "epl": (("epl", _UNDER + r"epl"),),
+    "epl-1.0": (("epl", rf"epl {_V}1 0"),),
+    "epl-2.0": (("epl", rf"epl {_V}2(?: 0)?"),),
+    "cddl": (("cddl", r"cddl"),),
+    "eupl": (("eupl", r"eupl"),),
+    "sspl": (("sspl", r"sspl"),),
+    "odbl": (("odbl", r"odbl"),),
+    "ofl": (("ofl", rf"ofl {_V}1 1"),),
+    "mit": (("mit", _UNDER + r"mit"),),
+    "bsd": (("bsd", _UNDER + r"bsd"),),
+}
+
 # Sentences that identify a license by its own text or notice: keyword, pattern.
 NOTICES: dict[str, tuple[tuple[str, str], ...]] = {
     "mit": (("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
@@ -105,6 +132,16 @@ NOTICES: dict[str, tuple[tuple[str, str], ...]] = {
     "zlib": (("provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors"),),
     "unlicense": (("free and unencumbered", r"this is free and unencumbered software released into the public domain"),),
     "cc0": (("waived all copyright", r"has waived all copyright and related or neighboring rights"),),
+    "fdl": (("permission is granted", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),),
+    "mpl-1.1": (("the contents of this file", r"the contents of this file are subject to the mozilla public license version 1 1"),),
+    "epl": (("the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),),
+    "cddl": (("the contents of this file", r"the contents of this file are subject to the terms of the common development and distribution license"),),
+    "ofl": (("this font software", r"this font software is licensed under the sil open font license"),),
+    "openssl": (("openssl project", r"this product includes software developed by the openssl project"),),
+    "php": (("php software", r"this product includes php software(?: freely)? available from"),),
+    "bsd-4-clause": (("all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),),
+    "ms-pl": (("this license governs", r"this license governs use of the accompanying software if you use the software you accept this license"),),
+    "postgresql": (("written agreement", r"for any purpose without fee and without a written agreement is hereby granted"),),
     "public-domain": (("public domain", r"(?:released|dedicated|placed|is) (?:in ?to|in) the public domain"),),
     "proprietary": (("all rights reserved", r"all rights reserved"),
                     ("confidential", r"proprietary and confidential"),),
@@ -135,6 +172,8 @@ def signatures() -> list[Signature]:
         for name in names:
             rules.append(Signature(label, keyword, GRANT + name + r"(?: license)?" + _VERSION, 1, 1.0))
             rules.append(Signature(label, keyword, name + r"(?: license)?" + _VERSION, 3, 0.8))
+    # the longer pattern, which has a version, comes first
+    rules += [Signature(label, k, p + r"(?: license)?" + _VERSION, 3, 0.8) for label, short in sorted(SHORT.items(), key=lambda x: -len(x[0])) for k, p in short]
     for label, notices in NOTICES.items():
         weak = label in ("copyright", "proprietary", "public-domain")
         rules += [Signature(label, k, p, 4 if weak else 2, 0.4 if weak else 0.95) for k, p in notices]

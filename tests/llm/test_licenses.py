@@ -60,6 +60,18 @@ def test_samples_match_brute_force(spark, docs_of):
     assert by[9].n_base == 300 and by[9].last_word == 598
 
 
+SHORT = {"This is under the GPL.": "gpl", "LGPL v2.1 applies": "lgpl-2.1", "see AGPL-3.0 here": "agpl-3.0", "MPL-2.0 code": "mpl-2.0",
+         "(EPL-2.0)": "epl-2.0", "released under the MPL": "mpl", "epl table and mpl unit": "",
+         "this product includes software developed by the OpenSSL Project": "openssl"}
+
+
+def test_short_names_and_notices(spark, docs_of):
+    texts = list(SHORT)
+    for r in L.license_scan(docs_of(texts)).collect():
+        assert row(r) == brute(texts[r.doc_id])
+        assert SHORT[texts[r.doc_id]] in r.labels.split(","), (texts[r.doc_id], r.labels)
+
+
 def test_query_matches_brute_force(spark):
     for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         texts = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
