@@ -93,3 +93,23 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelens.llm.chosen_path import jaccard_join
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@register("op11_hard_negatives", _oracle("negatives"))
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelens.llm.negatives import anchors_of_query, mine_negatives
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", moved), anchors_of_query())
+
+
+@register("op12_vector_codes", _oracle("codes"))
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelens.llm.codes import code_digest
+    return code_digest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelens.llm.language import language_digest
+    return language_digest(table(spark, sf_dir, "documents"))
