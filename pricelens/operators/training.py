@@ -88,6 +88,23 @@ def fit_target_encoding(train: DataFrame, cat: str, target: str) -> DataFrame:
     return per.select(cat, enc.cast("double").alias("encoded"), F.lit(gm).cast("double").alias("global_mean"))
 
 
+def fold_target_encodings(train: DataFrame, cat: str, target: str, n_folds: int, fold: str = "fold") -> tuple[DataFrame, list[float]]:
+    """:func:`fit_target_encoding` of every fold's complement in one pass:
+    ``(cat, encoded)`` with one entry for each fold, and the complements' means.
+    A category that a complement lacks is null there."""
+    y = F.col(target).cast("double")
+    of = [F.when(F.col(fold) != k, y) for k in range(n_folds)]
+    moments = lambda x, k: (F.count(x).alias(f"n{k}"), F.avg(x).alias(f"m{k}"), F.var_pop(x).alias(f"v{k}"))
+    every = [c for k, x in enumerate(of) for c in moments(x, k)]
+    all_rows, per = train.agg(*every).first(), train.groupBy(cat).agg(*every)
+    encoded = []
+    for k in range(n_folds):
+        gm, gv = all_rows[f"m{k}"], all_rows[f"v{k}"]
+        lam = F.col(f"n{k}") * F.lit(gv) / (F.col(f"n{k}") * F.lit(gv) + F.col(f"v{k}")) if gv else F.lit(0.0)
+        encoded.append(F.when(F.col(f"n{k}") > 0, lam * F.col(f"m{k}") + (1 - lam) * F.lit(gm)).cast("double"))
+    return per.select(cat, F.array(*encoded).alias("encoded")), [all_rows[f"m{k}"] for k in range(n_folds)]
+
+
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, cat: str, out: str,
                           global_mean: float | None = None) -> DataFrame:
     """Encoded value per row; unseen categories get the global mean.  The

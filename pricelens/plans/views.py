@@ -65,6 +65,8 @@ class Scope:
 
 
 EVAL = Scope()
+# A backtest over 36 months that all have actual prices.
+BACKTEST = Scope("1998-11-30", "1998-12-01", "2001-11-30")
 # All history; 72 forecast months, as many as the reference's production run.
 PRODUCTION = Scope(AS_OF, "2001-12-01", "2007-11-30", merged=True)
 

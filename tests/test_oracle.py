@@ -41,14 +41,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Queries without a twin have tests of their own.
+@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.oracle is not None))
 def test_query_matches_oracle(spark, duck, name):
     q = QUERIES[name]
     df = q.build(spark, SF)
     got = df.collect()
-    if q.oracle is None:
-        assert df.columns
-        return
     res = duck.execute(q.oracle)
     dcols = [d[0] for d in res.description]
     assert _canon(df.columns, got) == _canon(dcols, res.fetchall())
