@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import text_bytes
-from pricelens.llm.components import apart, components
+from pricelens.llm.components import apart, components, parts_for
 from pricelens.llm.contamination import words_of
 from pricelens.llm.substrings import window_hashes
 from pricelens.session import checkpoint
@@ -369,38 +369,40 @@ def _chunks(sets: F.Column, grams: F.Column, group_sets: int) -> F.Column:
 
 def _large_groups(sets: DataFrame, threshold: float, group_sets: int) -> DataFrame:
     """(``key``, ``rep``, ``linked``) for the sets of groups that no single task compares."""
+    parts = parts_for(sets, sets.count())
+    few = lambda df: apart(df.coalesce(parts), parts)
     dealt = _with_pivots(sets, "comp", _chunks(F.col("n"), F.col("total"), group_sets))
     seen = checkpoint(_by_group(dealt.select("group", "key", "comp", "pivot", "home", "grams"), _against_pivots(threshold),
-                                "key long, comp long, size long, linked array<long>, near array<long>, foreign array<long>"))
+                                "key long, comp long, size long, linked array<long>, near array<long>, foreign array<long>")).coalesce(parts)
     # pivots with most links first; a set joins the first one it is linked with, a pivot that a set has joined stands for itself
     covers = seen.select("comp", F.explode("linked").alias("p")).groupBy("comp", "p").agg((-F.count("*")).alias("c"))
     order = covers.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("order")).select(
         F.col("comp").alias("of"), F.transform("order", lambda x: x["p"]).alias("order"))
-    joined = checkpoint(seen.join(apart(order), F.col("comp") == F.col("of"), "left").drop("of").withColumn(
+    joined = checkpoint(seen.join(few(order), F.col("comp") == F.col("of"), "left").drop("of").withColumn(
         "rep", F.get(F.filter("order", lambda p: F.array_contains("linked", p)), F.lit(0))))
     used = joined.filter("rep IS NOT NULL").groupBy("comp").agg(F.collect_set("rep").alias("used")).withColumnRenamed("comp", "of")
-    stood = joined.join(apart(used), F.col("comp") == F.col("of"), "left").drop("of").withColumn(
+    stood = joined.join(few(used), F.col("comp") == F.col("of"), "left").drop("of").withColumn(
         "rep", F.when(F.array_contains("used", F.col("key")), F.col("key")).otherwise(F.col("rep")))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     met = stood.filter("rep IS NOT NULL").select("comp", "rep", F.explode(F.filter("linked", lambda p: F.array_contains("used", p) & (p != F.col("rep")))).alias("p"))
-    direct = checkpoint(met.select("comp", pair(F.col("p"), F.col("rep")).alias("x")).distinct())
+    direct = checkpoint(met.select("comp", pair(F.col("p"), F.col("rep")).alias("x")).distinct().coalesce(parts))
     flags = direct.groupBy("comp").agg(F.collect_list("x").alias("flags")).withColumnRenamed("comp", "of")
     # of the n-grams that no pivot has, those that stand in one set alone
     alone = seen.select("comp", "key", F.explode("foreign").alias("gram")).groupBy("comp", "gram").agg(F.count("*").alias("n"), F.min("key").alias("only"))
-    alone = alone.filter("n = 1").groupBy("only").agg(F.count("*").alias("alone"))
-    far = stood.join(apart(flags), F.col("comp") == F.col("of"), "left").join(alone, F.col("key") == F.col("only"), "left")
+    alone = alone.filter("n = 1").groupBy("only").agg(F.count("*").alias("alone")).coalesce(parts)
+    far = stood.join(few(flags), F.col("comp") == F.col("of"), "left").join(alone, F.col("key") == F.col("only"), "left")
     place = lambda p: F.array_position("order", p)
     undecided = F.exists("near", lambda p: F.array_contains("used", p) & (place(p) < place(F.col("rep"))) & ~F.coalesce(
         F.array_contains("flags", pair(p, F.col("rep"))), F.lit(False)))
     could = F.col("size") - F.coalesce("alone", F.lit(0)) >= threshold * F.col("size") - 1e-9
-    state = checkpoint(far.select("key", "rep", F.when(F.col("rep").isNull(), could).otherwise(F.coalesce(undecided, F.lit(False))).alias("open")))
+    state = checkpoint(far.select("key", "rep", F.when(F.col("rep").isNull(), could).otherwise(F.coalesce(undecided, F.lit(False))).alias("open")).coalesce(parts))
     shown = sets.join(state.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select(
         "key", "comp", "grams", F.coalesce("rep", "key").alias("rep"), "open", (F.col("rep").isNotNull() | F.col("open")).alias("may"))
 
     def chunked(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.octet_length("grams") / 8).alias("g"))
         sums = sums.select(F.col("comp").alias("of"), _chunks(F.col("m"), F.col("g"), group_sets).alias("chunks"))
-        return rows.join(apart(sums), F.col("comp") == F.col("of")).select("key", "comp", "grams", "rep", "chunks")
+        return rows.join(few(sums), F.col("comp") == F.col("of")).select("key", "comp", "grams", "rep", "chunks")
     found = _by_group(_crossed(chunked(shown.filter("open")), chunked(shown.filter("may")), "comp"), _linked_pairs(threshold), "comp long, a long, b long")
     pairs = direct.select("x.a", "x.b").unionByName(found.select("a", "b")).distinct()
     linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("linked"))

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from pricelens.session import checkpoint
 
 
-def apart(sums: DataFrame) -> DataFrame:
+# Rows of a partition of the tables below, which hold a few numbers a row.
+ROWS_PER_PART = 100_000
+
+
+def apart(sums: DataFrame, parts: int | None = None) -> DataFrame:
     """Sums by a key, dealt out once more before they are joined to the rows they sum.
 
     Without this the join would use the aggregate's own partitions, and Spark
     could not split the rows of a key that has very many.
     """
-    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sums.repartition(parts or int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def parts_for(df: DataFrame, rows: int) -> int:
+    """Partitions for a number of rows: few rows need not be written in as many pieces as many."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PART)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,16 +40,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = checkpoint(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     state = None
     while True:
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        parts = parts_for(now, 2 * found[0])
+        now = now.coalesce(parts)
+        if found == state:
+            break
+        state = found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = apart(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+        least = apart(least.coalesce(parts), parts)
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = large.coalesce(parts).distinct().coalesce(parts)
+        least = apart(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w").coalesce(parts), parts)
         met = large.join(least, F.col("u") == F.col("w"))
         small = met.select(F.col("u"), F.col("m").alias("v")).unionByName(met.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = checkpoint(small.filter("u > v").distinct())
-        is_star = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if is_star == state:
-            break
-        state = is_star
+        now = checkpoint(small.filter("u > v").coalesce(parts).distinct().coalesce(parts))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
