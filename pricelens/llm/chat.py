@@ -13,12 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.llm.components import apart
+from pricelens.session import checkpoint
+
 SEGMENT_TURNS = 64
 # Different messages of one segment that are rendered together; a segment with
-# more (many messages at one turn) is dealt into parts.
+# more (many messages at one turn) is cut into parts, in its order.
 PART_MESSAGES = 256
 CONTEXT_ROLES = ("system",)
 UNNAMED = "unknown"
@@ -29,6 +32,25 @@ def _plain(text: F.Column) -> F.Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _numbered(said: DataFrame, part_messages: int) -> DataFrame:
+    """Distinct messages of crowded segments with their ``part``: part k has the next
+    ``part_messages`` after part k - 1, in the order of turn, speaker and text.
+
+    The messages are sorted by ranges, so that a segment of any size spreads over
+    the tasks; a message's place is the number of rows in the ranges before its
+    own and its place there, counted from the first message of its segment.
+    """
+    order = ["conv_id", "segment", "turn", "speaker", "said"]
+    placed = said.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    placed = checkpoint(placed.select(*order, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    # one row for each range
+    before = placed.groupBy("range").agg(F.count("*").alias("size")).withColumn("end", F.sum("size").over(Window.orderBy("range")))
+    placed = placed.join(F.broadcast(before.select("range", (F.col("end") - F.col("size")).alias("before"))), "range").withColumn("place", F.col("before") + F.col("at"))
+    first = placed.groupBy("conv_id", "segment").agg(F.min("place").alias("first")).select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), "first")
+    placed = placed.join(apart(first), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")))
+    return placed.select("conv_id", "turn", "speaker", "said", "segment", F.floor((F.col("place") - F.col("first")) / part_messages).cast("long").alias("part"))
+
+
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                         text_col: str = "text", context_roles: Sequence[str] = CONTEXT_ROLES,
                         segment_turns: int = SEGMENT_TURNS, part_messages: int = PART_MESSAGES) -> DataFrame:
@@ -58,10 +80,10 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     key = F.xxhash64("turn", "speaker", "said")
     crowded = (said.groupBy("conv_id", "segment").agg(F.count_distinct(key).alias("n"))
-               .filter(F.col("n") > part_messages)
-               .select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.ceil(F.col("n") / part_messages).alias("parts")))
-    said = (said.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left")
-            .withColumn("part", F.coalesce(F.pmod(key, F.col("parts")), F.lit(0)).cast("long")))
+               .filter(F.col("n") > part_messages).select(F.col("conv_id").alias("c"), F.col("segment").alias("s")))
+    met = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))
+    plain = said.join(crowded, met, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    said = plain.unionByName(_numbered(said.join(crowded, met, "left_semi"), part_messages))
     # collect_set drops repeated rows before the shuffle
     segments = said.groupBy("conv_id", "segment", "part").agg(
         F.array_sort(F.collect_set(F.struct("turn", "speaker", "said"))).alias("messages"))
@@ -93,23 +115,25 @@ WITH said AS (
   SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said,
          coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS segment
   FROM conversations),
+parted AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, speaker, said) - 1) // 256 AS part FROM said),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 shown AS (
-  SELECT s.conv_id, p.perspective, s.segment, s.turn, s.speaker, s.said, s.speaker = p.perspective AS mine,
+  SELECT s.conv_id, p.perspective, s.segment, s.part, s.turn, s.speaker, s.said, s.speaker = p.perspective AS mine,
          '<|' || CASE WHEN s.speaker = 'system' THEN s.speaker WHEN s.speaker = p.perspective THEN 'assistant'
                       ELSE 'user name=' || replace(s.speaker, '<|', '< |') END || '|>' || chr(10) AS head,
          replace(s.said, '<|', '< |') || chr(10) || '<|end|>' AS body
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM parted s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-           PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, speaker, said
+           PARTITION BY conv_id, perspective, segment, part ORDER BY turn NULLS FIRST, speaker, said
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM shown)
-SELECT conv_id, perspective, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
+SELECT conv_id, perspective, segment, CAST(part AS BIGINT) AS part, count(*) AS n_messages,
        count(*) FILTER (mine) AS n_trained,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, speaker, said) AS text,
        coalesce(string_agg(CAST(CAST(before + length(head) AS BIGINT) AS VARCHAR) || ':' ||
                            CAST(CAST(before + length(head) + length(body) AS BIGINT) AS VARCHAR), ','
                            ORDER BY turn NULLS FIRST, speaker, said) FILTER (mine), '') AS mask
-FROM placed GROUP BY conv_id, perspective, segment
+FROM placed GROUP BY conv_id, perspective, segment, part
 """

@@ -42,11 +42,36 @@ def test_edge_rows(spark):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
-def test_long_and_crowded_dialogues_are_dealt_out(spark):
-    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(300)] + [(2, 0, "ab"[i % 2], f"t{i}") for i in range(300)]
-    out = chat.rotate_perspectives(spark.createDataFrame(rows, SCHEMA), segment_turns=50, part_messages=60).collect()
-    assert max(r.n_messages for r in out) < 120
-    for conv in (1, 2):
-        assert sum(r.n_messages for r in out if r.conv_id == conv and r.perspective == "a") == 300
-    first = [r for r in sorted(out, key=lambda r: (r.segment, r.part)) if r.conv_id == 1 and r.perspective == "b"]
+def test_parts_follow_the_order_of_turns(spark):
+    """Segments of any number of messages: read by (segment, part) they are in turn order."""
+    rows = [(1, i % 60, "ab"[i % 2], f"t{i:04d}") for i in range(900)] + [(2, 0, "ab"[i % 2], f"t{i:04d}") for i in range(300)]
+    rows += [(None, None, "a", f"n{i:04d}") for i in range(130)] + [(3, i, "ab"[i % 2], f"s{i}") for i in range(50)] + rows[:40]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    out = chat.rotate_perspectives(df, part_messages=60).collect()
+    said = {}
+    for c, t, who, text in set(rows):
+        said.setdefault(c, []).append((t if t is not None else -1, who, text))
+    for conv, messages in said.items():
+        for who in {w for _, w, _ in messages}:
+            mine = sorted((r for r in out if r.conv_id == conv and r.perspective == who), key=lambda r: (r.segment, r.part))
+            assert [r.part for r in mine] == list(range(len(mine)))
+            assert [r.n_messages for r in mine[:-1]] == [60] * (len(mine) - 1) and 1 <= mine[-1].n_messages <= 60
+            text = "".join(r.text for r in mine)
+            assert [x for x in text.split("\n") if x[:1] in "tns" and x[1:].isdigit()] == [m[2] for m in sorted(messages)]
+            assert sum(r.n_trained for r in mine) == sum(w == who for _, w, _ in messages)
+
+
+def test_crowded_segments_match_sql(spark):
+    rows = [(1, i % 30, "abc"[i % 3], f"t{i}") for i in range(700)] + [(2, None, "ab"[i % 2], f"t{i}") for i in range(300)] + [(3, 70, "a", "x"), (3, 1, "system", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    got = same(chat.rotate_perspectives(df).withColumn("mask", F.array_join(spans, ",")), duck(conversations=df), chat.QUERY_SQL)
+    assert len(got) == 3 * 3 + 2 * 2 + 2
+
+
+def test_long_dialogues_are_cut_into_segments(spark):
+    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(300)]
+    out = chat.rotate_perspectives(spark.createDataFrame(rows, SCHEMA), segment_turns=50).collect()
+    assert len(out) == 2 * 6 and all(r.n_messages == 50 for r in out)
+    first = [r for r in sorted(out, key=lambda r: (r.segment, r.part)) if r.perspective == "b"]
     assert "".join(r.text for r in first).count("<|assistant|>") == 150
