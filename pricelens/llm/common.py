@@ -55,3 +55,26 @@ def map_rows(df: DataFrame, row_fn: Callable, schema: str, arrow: pa.Schema) ->
 def blank(column) -> F.Column:
     """Null text counts as empty text."""
     return F.coalesce(column, F.lit(""))
+
+
+def let(value: F.Column, use) -> F.Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+# Numbers that one step of the running sums below looks back over.
+RUN = 128
+
+
+def running(values: F.Column, start: F.Column, merge) -> F.Column:
+    """For each place of an array what ``merge`` makes of all values before it, from ``start``.
+
+    Within a run of 128 values and over the runs' own totals; the work grows with
+    the length, not with its square.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda r: F.slice(values, r * RUN + 1, RUN))
+    within = lambda run, before: F.transform(run, lambda _, i: F.aggregate(F.slice(run, F.lit(1), i), before, merge))
+    totals = F.transform(runs, lambda run: F.aggregate(run, start, merge))
+    found = let(totals, lambda t: F.flatten(F.transform(runs, lambda run, r: let(
+        F.aggregate(F.slice(t, F.lit(1), r), start, merge), lambda before: within(run, before)))))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))

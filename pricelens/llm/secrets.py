@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.llm.common import let, running
+
 # Documents whose postings meet in one row of the index.
 CHUNK_DOCS = 2048
 # Strings that an alternative may expand to before its trigrams are taken.
@@ -172,20 +174,16 @@ def _spans(text: F.Column, place: int, rule: Rule) -> F.Column:
     """Matches of one rule as (start, place, end, kind), in code points."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    pairs = F.zip_with(matches, values, lambda m, v: F.struct(F.char_length(m).alias("n"), (F.char_length(v) >= rule.least).alias("ok")))
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    span = "struct<start:bigint,place:int,end:bigint,kind:string>"
-
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        end = start + x["m"]["n"]
-        found = F.struct(start.cast("long").alias("start"), F.lit(place).alias("place"), end.cast("long").alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.cast("long").alias("at"),
-                        F.when(x["m"]["ok"], F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
+    pairs = F.zip_with(matches, values, lambda m, v: F.struct(F.char_length(m).cast("long").alias("n"), (F.char_length(v) >= rule.least).alias("ok")))
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.char_length(g).cast("long"))
+    steps = F.zip_with(pairs, F.slice(gaps, F.lit(1), F.size(pairs)), lambda m, g: F.struct(m["n"].alias("n"), m["ok"].alias("ok"), g.alias("gap")))
 
-    steps = F.zip_with(pairs, F.slice(gaps, F.lit(1), F.size(pairs)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-    return F.aggregate(steps, start, step)["out"]
+    def placed(steps):
+        before = let(F.transform(steps, lambda x: x["gap"] + x["n"]), lambda sizes: running(sizes, F.lit(0).cast("long"), lambda a, x: a + x))
+        return F.zip_with(steps, before, lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), F.lit(place).alias("place"), (at + x["gap"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"), x["ok"].alias("ok")))
+    found = F.filter(let(steps, placed), lambda s: s["ok"])
+    return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "place", "end", "kind"))))
 
 
 def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text",
@@ -246,13 +244,15 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
     found = with_spans(docs, rules, id_col, text_col)
     text = F.col(text_col)
 
-    def step(state, s):
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(REDACTED))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
+    def cut(spans):
+        """The texts between the spans, each but the last followed by a mark."""
+        before = let(F.transform(spans, lambda s: s["end"]), lambda ends: running(ends, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x)))
+        pieces = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(
+            F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit(REDACTED))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, (last + 1).cast("int"), F.char_length(text)))
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
-                       lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
+    done = let(F.col("__spans"), cut)
     any_ = F.size("__spans") > 0
     out = found.withColumn("__new", F.when(any_, done).otherwise(text))
     columns = [F.col("__new").alias(c) if c == text_col
