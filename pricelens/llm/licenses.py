@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.llm.common import let, running
+
 # The phrases whose places are counted, and their labels (fixed values).
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -185,7 +187,8 @@ SIGNATURES = signatures()
 
 def plain_words(text: F.Column) -> F.Column:
     """Lower-case words with one blank before each and one at the end ('' without words)."""
-    spaced = F.regexp_replace(F.lower(F.concat(F.lit(" "), text, F.lit(" "))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spaced = F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.when(spaced == " ", F.lit("")).otherwise(spaced)
 
 
@@ -206,17 +209,21 @@ def detections(words: F.Column) -> F.Column:
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
     able = F.flatten(F.transform(F.filter(table, lambda k: F.contains(words, k["keyword"])), lambda k: k["rules"]))
 
-    def of_rule(rule):
-        found = F.transform(F.regexp_extract_all(words, rule["pattern"], F.lit(0)), _blanks)
-        gaps = F.transform(F.split(words, rule["pattern"], F.lit(-1)), _blanks)
+    def of_hits(rule, found):
+        n = F.transform(found, lambda x: _blanks(x).cast("long"))
+        gaps = F.transform(F.slice(F.split(words, rule["pattern"], F.lit(-1)), F.lit(1), F.size(found)), lambda x: _blanks(x).cast("long"))
+        pairs = F.zip_with(n, gaps, lambda n, g: F.struct(n.alias("n"), g.alias("gap")))
 
-        def step(state, x):
-            start = state["at"] + x["gap"]
-            hit = F.struct(start.alias("start"), (start + x["n"]).alias("upto"), *(rule[c].alias(c) for c in ("priority", "place", "label", "relevance", "base")))
-            return F.struct((start + x["n"]).alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
+        def placed(pairs):
+            before = let(F.transform(pairs, lambda p: p["n"] + p["gap"]), lambda sizes: running(sizes, F.lit(0).cast("long"), lambda a, x: a + x))
+            return F.zip_with(pairs, before, lambda p, at: F.struct(
+                (at + p["gap"]).alias("start"), (at + p["gap"] + p["n"]).alias("upto"), *(rule[c].alias(c) for c in ("priority", "place", "label", "relevance", "base"))))
+        return let(pairs, placed)
 
-        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda n, g: F.struct(n.cast("long").alias("n"), g.cast("long").alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{DETECTION}>").alias("out")), step)["out"]
+    def of_rule(rule):
+        # most rules that pass the gate match nothing, and are done with one search
+        return let(F.regexp_extract_all(words, rule["pattern"], F.lit(0)), lambda found: F.when(
+            F.size(found) > 0, of_hits(rule, found)).otherwise(F.array().cast(f"array<{DETECTION}>")))
 
     return F.array_sort(F.flatten(F.transform(able, of_rule)), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int"))
                         .when(a["upto"] != b["upto"], F.signum(b["upto"] - a["upto"]).cast("int"))
@@ -226,19 +233,19 @@ def detections(words: F.Column) -> F.Column:
 def unsuppressed(found: F.Column) -> F.Column:
     """Detections not within an earlier one of the same or a higher priority.
 
-    In the given order a containing range always comes first; only ranges that
-    are still open are compared.
+    In the given order a containing range always comes first, so a detection is
+    within one if the earlier ones of its priority or a higher reach as far.
+    What contains a dropped detection's container contains the detection too.
     """
-    kind = f"array<{DETECTION}>"
-
-    def step(state, d):
-        still = F.filter(state["open"], lambda o: o["upto"] >= d["upto"])
-        within = F.exists(still, lambda o: o["priority"] <= d["priority"])
-        return F.struct(F.when(within, state["open"]).otherwise(F.concat(F.filter(state["open"], lambda o: o["upto"] > d["start"]), F.array(d))).alias("open"),
-                        F.when(within, state["out"]).otherwise(F.concat(state["out"], F.array(d))).alias("out"))
-
-    empty = F.array().cast(kind)
-    return F.aggregate(found, F.struct(empty.alias("open"), empty.alias("out")), step)["out"]
+    levels = sorted({s.priority for s in SIGNATURES})
+
+    def reach_of(p: int) -> F.Column:
+        ends = F.transform(found, lambda d: F.when(d["priority"] <= p, d["upto"]).otherwise(F.lit(-1).cast("long")))
+        return let(ends, lambda e: running(e, F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x)))
+    reach = F.array(*map(reach_of, levels))
+    level = lambda d: F.array_position(F.array(*[F.lit(p) for p in levels]), d["priority"]).cast("int") - 1
+    kept = let(reach, lambda r: F.filter(found, lambda d, i: F.get(F.get(r, level(d)), i) < d["upto"]))
+    return F.when(F.size(found) > 1, kept).otherwise(found)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

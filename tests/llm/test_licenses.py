@@ -72,6 +72,20 @@ def test_short_names_and_notices(spark, docs_of):
         assert SHORT[texts[r.doc_id]] in r.labels.split(","), (texts[r.doc_id], r.labels)
 
 
+def test_work_grows_with_the_hits_not_their_square(spark, docs_of):
+    import time
+    text = "licensed under the mit license and apache license version 2 0 "
+    took = []
+    for n in (2000, 8000):
+        docs = docs_of([text * n])
+        L.license_scan(docs).collect()
+        start = time.time()
+        r = L.license_scan(docs).collect()[0]
+        took.append(time.time() - start)
+        assert r.n_base == 2 * n and r.last_word == 11 * n - 5 and len(r.licenses) >= 2 * n
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_query_matches_brute_force(spark):
     for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         texts = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
