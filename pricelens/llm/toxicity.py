@@ -2,9 +2,9 @@
 
 Categories are predicted in a fixed order by linear (logistic) models over the
 words of a text, their beginnings (which stand for inflected forms) and a few
-ratios.  A later model also gets the logits of the
-earlier categories; for training these come from out-of-fold models, so they
-are as uncertain as they will be on new documents.
+ratios.  A later model also gets the probabilities of the earlier categories; for
+training these come from out-of-fold models, so they are as uncertain as they
+will be on new documents.
 
 The models are fitted on at most ``sample_rows`` labelled documents (those with
 the smallest hashes), the only part of the input that reaches the driver, as
@@ -33,7 +33,7 @@ VOCABULARY = 40_000
 MODEL_WORDS = 400
 STEMS = (4, 5, 6)          # characters of a beginning
 FOLDS = 5
-MIN_Z = 5.0             # a word's least association with a category, in standard errors
+MIN_Z = 4.0             # a word's least association with a category, in standard errors
 RIDGE = 0.05
 RATIOS = 4
 # Rows that the driver's sums work on at a time.
@@ -64,15 +64,19 @@ def copy_key(text: bytes | None) -> int:
 
 @dataclass
 class Linear:
-    """A logistic model on some words, the ratios and earlier logits."""
+    """A logistic model on some words, the ratios and earlier probabilities."""
 
     words: np.ndarray
-    weights: np.ndarray         # words, ratios, earlier logits, bias
+    weights: np.ndarray         # words, ratios, earlier probabilities, bias
 
     def logit(self, has: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return has @ self.weights[:len(self.words)] + dense @ self.weights[len(self.words):-1] + self.weights[-1]
 
 
+def probability(logit):
+    return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
 def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_words: int, most: int = MODEL_WORDS) -> Linear:
     """Select the words most associated with ``y``, then Newton steps with a ridge penalty."""
     n, pos = len(y), float(y.sum())
@@ -150,7 +154,7 @@ class Chain:
         rows = [np.sort(np.fromiter((index[w] for w in distinct & index.keys()), np.int64))]
         out: list[float] = []
         for m in self.models:
-            out.append(float(m.logit(indicator(rows, m.words), np.array([dense + out]))[0]))
+            out.append(float(m.logit(indicator(rows, m.words), np.array([dense + [float(probability(z)) for z in out]]))[0]))
         return out
 
     @property
@@ -212,7 +216,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
             out_of_fold[test] = model.logit(indicator([rows[i] for i in test], model.words), dense[test])
         chain.models.append(fit_linear(rows, dense, y, len(vocabulary)))
         chain.thresholds.append(best_threshold(out_of_fold, y))
-        dense = np.column_stack((dense, out_of_fold))
+        dense = np.column_stack((dense, probability(out_of_fold)))
     used = np.unique(np.concatenate([m.words for m in chain.models] or [np.empty(0, np.int64)]))
     for m in chain.models:
         m.words = np.searchsorted(used, m.words)
@@ -233,7 +237,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     def row(doc_id, text):
         c = sent.value
         z = c.logits(text)
-        return (doc_id, *(1 / (1 + np.exp(-max(-500.0, x))) for x in z), *(x >= t for x, t in zip(z, c.thresholds)))
+        return (doc_id, *(float(probability(x)) for x in z), *(x >= t for x, t in zip(z, c.thresholds)))
 
     arrow = pa.schema([("doc_id", pa.int64()), *((f"p_{n}", pa.float64()) for n in names), *((f"is_{n}", pa.bool_()) for n in names)])
     schema = ", ".join(["doc_id long", *(f"`p_{n}` double" for n in names), *(f"`is_{n}` boolean" for n in names)])

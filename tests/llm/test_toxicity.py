@@ -85,3 +85,24 @@ def test_chain_passes_logits_on_and_edge_rows(spark, docs_of):
     none = T.fit_chain(docs, labels.limit(0), T.label_categories())
     assert not any(r.is_toxic for r in T.score(docs, none).collect())
     assert T.remove_rejected(docs, none).count() == 205
+
+
+def test_probabilities_match_a_plain_chain(spark):
+    """Every probability from the weights, one document and one word at a time; earlier probabilities are inputs of later models."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    chain = T.fit_chain(table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels"), T.label_categories())
+    assert [len(m.weights) - len(m.words) - 1 for m in chain.models] == [T.RATIOS, T.RATIOS + 1]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in T.score(docs, chain).collect():
+        known, dense = T.read(texts[r.doc_id].encode())
+        earlier = []
+        for name, m, threshold in zip(chain.categories, chain.models, chain.thresholds):
+            z = m.weights[-1]
+            for word, weight in zip(m.words, m.weights):
+                z += weight if chain.vocabulary[word] in known else 0.0
+            for value, weight in zip([*dense, *earlier], m.weights[len(m.words):]):
+                z += value * weight
+            p = 1 / (1 + np.exp(-z))
+            assert abs(r[f"p_{name}"] - p) < 1e-4
+            assert abs(z - threshold) < 1e-3 or r[f"is_{name}"] == (z >= threshold)
+            earlier.append(p)
