@@ -10,9 +10,10 @@
 5. A shard draws its quota of each source from the permuted block draws, without
    overlap, and shuffles its documents locally by hash.
 
-Only DataFrame functions.  Documents meet the plan by (source, block), so a
-source with a third of all rows is spread over its blocks; what is gathered for
-a source is at most ``N_BLOCKS`` block sums, whatever the size of the input.
+Only DataFrame functions.  Documents meet the plan by (source, block); the plan
+has at most ``N_BLOCKS`` rows a source and is broadcast if it is small, so the
+documents stay where they are but for those of the one block of each source that
+its target cuts.
 All randomness is a hash of the seed and the row: reruns agree.
 """
 
@@ -30,6 +31,8 @@ N_BLOCKS = 1024
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 N_SHARDS = 16
+# Rows of a plan that may be broadcast; a larger one is joined.
+BROADCAST_ROWS = 200_000
 SEED = 17
 
 
@@ -42,15 +45,18 @@ def _uniform(*parts) -> F.Column:
     return F.shiftrightunsigned(_hash(*parts), 11) / F.lit(float(1 << 53))
 
 
-def sized(docs: DataFrame, source_col: str, text_col: str, id_col: str, seed: int = SEED) -> DataFrame:
-    """Adds ``__size`` (words), ``__draw`` (a hash of id and text), ``__block``."""
+def keyed(docs: DataFrame, source_col: str, text_col: str, id_col: str, seed: int = SEED) -> DataFrame:
+    """Adds ``__source``, ``__draw`` (a hash of id and text) and ``__block``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     draw = _hash(seed, F.col(id_col), text)
     return docs.withColumns({"__source": F.col(source_col).cast("string"), "__draw": draw,
-                             "__size": F.regexp_count(text, F.lit(SPACE_WORD)).cast("long"),
                              "__block": F.pmod(_hash(seed + 1, draw), F.lit(N_BLOCKS)).cast("int")})
 
 
+def word_count(text_col: str) -> F.Column:
+    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SPACE_WORD)).cast("long")
+
+
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``__source``, ``source_size`` -> also ``target``.  One row per source goes in and out.
 
@@ -204,24 +210,29 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     are ordered arbitrarily, with the same multiset of results.  An empty table
     gives an empty result.
     """
-    rows = sized(docs, source_col, text_col, id_col, seed)
+    rows = keyed(docs, source_col, text_col, id_col, seed)
     own = [] if not with_columns else [c for c in docs.columns if c not in
                                        ("size", "source_size", "target", "taken", "shards", "shard_order")]
-    narrow = checkpoint(rows.select(F.col(id_col).alias("doc_id"), "__source", "__block", "__draw", "__size"))
+    narrow = checkpoint(rows.select(F.col(id_col).alias("doc_id"), "__source", "__block", "__draw", word_count(text_col).alias("__size")))
     blocks = narrow.groupBy("__source", "__block").agg(F.sum("__size").alias("words"))
-    plan = block_plan(blocks, weights, max_epochs, n_shards, seed).withColumnsRenamed({"__source": "of", "__block": "b"})
+    plan = checkpoint(block_plan(blocks, weights, max_epochs, n_shards, seed).withColumnsRenamed({"__source": "of", "__block": "b"}))
     if with_columns:
-        rows = rows.select(*own, "__source", "__block", "__draw", "__size")
+        size = word_count(text_col)
     else:
-        rows, own = narrow, ["doc_id"]
-    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("of")) & (F.col("__block") == F.col("b")))
+        rows, own, size = narrow, ["doc_id"], F.col("__size")
+    small = plan.count() <= BROADCAST_ROWS
     order = Window.partitionBy("__source", "__block").orderBy("__draw", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.sum("__size").over(order) - F.col("__size")
-    cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), F.col("part") - begin))
-    rows = rows.withColumn("__cut", cut)
-    whole = F.col("copies").cast("int")
-    return rows.select(
-        *own, F.col("__size").alias("size"), "source_size", "target",
-        (F.col("copies") * F.col("__size") + F.col("__cut")).alias("taken"),
-        F.when(F.col("__cut") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), whole)).alias("shards"),
-        _hash(seed + 5, F.col("__draw")).alias("shard_order"))
+
+    def drawn(cut_blocks: bool) -> DataFrame:
+        part = plan.filter((F.col("part") > 0) == F.lit(cut_blocks))
+        met = rows.join(F.broadcast(part) if small else part, F.col("__source").eqNullSafe(F.col("of")) & (F.col("__block") == F.col("b")))
+        met = met.withColumn("__size", size)
+        cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), F.col("part") - begin)) if cut_blocks else F.lit(0).cast("long")
+        met = met.withColumn("__cut", cut)
+        return met.select(
+            *own, F.col("__size").alias("size"), "source_size", "target",
+            (F.col("copies") * F.col("__size") + F.col("__cut")).alias("taken"),
+            F.when(F.col("__cut") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("copies").cast("int"))).alias("shards"),
+            _hash(seed + 5, F.col("__draw")).alias("shard_order"))
+    return drawn(False).unionByName(drawn(True))
