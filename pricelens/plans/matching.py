@@ -157,6 +157,15 @@ def title_match(spark, sf_dir):
     return m.select("item_id", "match_type", "match_score", "units_global_m", "units_na_m", "sales_url")
 
 
+@register("weighted_title_match", covers=("C10",))
+def weighted_title_match(spark, sf_dir):
+    """:func:`title_match` by the weighted ratio: word order, subtitles and parts of titles count."""
+    p = V.Panel(spark, sf_dir)
+    m = match_titles(p.items.select("item_id", "title", "platform"), sales_listing(p),
+                     payload=["units_global_m", "units_na_m", "sales_url"], scorer="weighted")
+    return m.select("item_id", "match_type", "match_score", "units_global_m", "units_na_m", "sales_url")
+
+
 def metadata_catalog(p: V.Panel):
     """Derived metadata entries: names sharing all / most / some key words."""
     part = p.table("part")
