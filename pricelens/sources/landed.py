@@ -14,6 +14,7 @@ from pyspark.sql.types import (
 
 from pricelens.functions.dates import epoch_ms_to_date
 from pricelens.functions.numeric import cents_to_dollars
+from pricelens.sources.tables import read_json, split_corrupt
 
 # Chart series keys and the condition names they are stored as.
 CONDITION_MAP = {
@@ -61,9 +62,10 @@ GAME_DOCUMENT = StructType([
 ])
 
 
-def read_game_documents(spark, path: str) -> DataFrame:
-    """Landed metadata documents (JSON lines) with the fixed nested schema."""
-    return spark.read.schema(GAME_DOCUMENT).json(path)
+def read_game_documents(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed metadata documents (JSON lines) with the fixed nested schema, and
+    dead-letter rows for broken lines."""
+    return split_corrupt(read_json(spark, path, GAME_DOCUMENT))
 
 
 def extract_chart(html_col) -> "F.Column":

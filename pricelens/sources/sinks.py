@@ -4,12 +4,13 @@ quarantine split, metrics document, nested JSON export)."""
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricelens.sources.tables import path_exists, read_optional
+from pricelens.sources.tables import path_exists, paths_like, read_optional
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -39,13 +40,64 @@ def write_append(df: DataFrame, path: str, schema: StructType | None = None, fmt
 
 
 def cache_or_compute(spark: SparkSession, path: str, compute, fmt: str = "parquet") -> DataFrame:
-    """Reuse a materialised stage if present, else compute, write and re-read
-    it (the re-read plan starts from the files, so lineage is cut)."""
-    if not path_exists(spark, path):
+    """Reuse a materialised stage if it was written to its end, else compute,
+    write and re-read it (the re-read plan starts from the files, so lineage is
+    cut).  A folder that a stopped job left behind is written anew."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
 
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of a table's last commit."""
+    found = paths_like(spark, f"{path}/commits/*.json")
+    if not found:
+        return 0, {"folders": [], "batches": []}
+    text = spark.read.text(found[-1], wholetext=True).first()[0]
+    return int(found[-1].rpartition("/")[2].removesuffix(".json")), json.loads(text)
+
+
+def committed_batches(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the batches in a table's last commit."""
+    return _manifest(spark, path)[1]["batches"]
+
+
+def commit_table(df: DataFrame, path: str, mode: str = "overwrite", batch: str | None = None) -> bool:
+    """Write rows into a folder of their own and then swap in a manifest that names
+    the folders of the table.
+
+    Readers see the last manifest, so a job that stops halfway leaves the table as
+    it was.  ``append`` adds a folder; a ``batch`` that the table already has is
+    left alone (``False``), so a rerun adds no row twice.  One writer at a time.
+    """
+    spark = df.sparkSession
+    number, manifest = _manifest(spark, path)
+    if batch is not None and batch in manifest["batches"]:
+        return False
+    folder = f"data/{uuid.uuid4()}"
+    df.write.parquet(f"{path}/{folder}")
+    keep = manifest["folders"] if mode == "append" else []
+    known = manifest["batches"] if mode == "append" else []
+    text = json.dumps({"folders": [*keep, folder], "batches": [*known, *([batch] if batch is not None else [])]})
+    jvm = spark.sparkContext._jvm
+    draft, final = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}/commits/.{uuid.uuid4()}", f"{path}/commits/{number + 1:010d}.json"))
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"{path} was committed by another writer")
+    return True
+
+
+def read_committed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table of the last commit; without one an empty table with the schema."""
+    _, manifest = _manifest(spark, path)
+    if not manifest["folders"]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/{f}" for f in manifest["folders"]))
+
+
 def write_quarantine(tagged: DataFrame, included_path: str, excluded_path: str,
                      reason: str = "exclusion_reason") -> tuple[int, int]:
     """Two filtered writes from one tagged table; the excluded table is
@@ -75,5 +127,5 @@ def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").json(path)
 
 
-__all__ = ["write_overwrite", "write_append", "cache_or_compute", "write_quarantine", "metrics_document",
+__all__ = ["write_overwrite", "write_append", "cache_or_compute", "commit_table", "committed_batches", "read_committed", "write_quarantine", "metrics_document",
            "write_json", "read_optional"]

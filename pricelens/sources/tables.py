@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -35,9 +35,33 @@ def paths_like(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def with_corrupt(schema: StructType) -> StructType:
+    """The schema with a column for the text of rows that do not fit it."""
+    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
-    """CSV with a fixed schema; never inferred (inference is a full extra pass)."""
-    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
+    """CSV with a fixed schema; never inferred (inference is a full extra pass).
+    A row with too few or too many fields, or a field that is not of its type,
+    has its text in ``_corrupt_record``."""
+    return spark.read.schema(with_corrupt(schema)).option("header", header).option("mode", "PERMISSIVE") \
+        .option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSON lines with a fixed nested schema; broken lines as in :func:`read_csv`."""
+    return spark.read.schema(with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def split_corrupt(rows: DataFrame, status: str = "malformed") -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and dead-letter rows (``raw``, ``status``) for the others."""
+    whole = [c for c in rows.columns if c != CORRUPT]
+    # Spark scans a file for its corrupt rows only together with other columns
+    bad = F.col(CORRUPT).isNotNull() & (F.to_json(F.struct(*whole)) != "")
+    return rows.where(~bad).select(*whole), rows.where(bad).select(F.col(CORRUPT).alias("raw"), F.lit(status).alias("status"))
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -45,12 +69,3 @@ def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str =
     if path_exists(spark, path):
         return spark.read.schema(schema).format(fmt).load(path)
     return spark.createDataFrame([], schema)
-
-
-def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.select([F.col(c).alias(mapping.get(c, c)) for c in df.columns])
-
-
-def normalize_header(df: DataFrame) -> DataFrame:
-    """Trim header names (CSV exports often carry padding)."""
-    return df.toDF(*[c.strip() for c in df.columns])
