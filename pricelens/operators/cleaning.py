@@ -79,13 +79,17 @@ def classify_items(items: DataFrame, first_sale: DataFrame | None = None, floor_
     return out
 
 
-def exclusion_reason(min_records: int, hardware: str = "is_hardware", count: str = "price_record_count"):
+# Fixed value: price records that an item needs.
+MIN_RECORDS = 50
+
+
+def exclusion_reason(min_records: int = MIN_RECORDS, hardware: str = "is_hardware", count: str = "price_record_count"):
     """First failing rule decides: hardware, then too few price records."""
     return (F.when(F.coalesce(F.col(hardware), F.lit(False)), F.lit("hardware"))
             .when(F.coalesce(F.col(count), F.lit(0)) < min_records, F.lit(f"fewer_than_{min_records}_price_records")))
 
 
-def split_quarantine(df: DataFrame, min_records: int) -> tuple[DataFrame, DataFrame]:
+def split_quarantine(df: DataFrame, min_records: int = MIN_RECORDS) -> tuple[DataFrame, DataFrame]:
     """(included, excluded-with-reason) from one pass over the rows."""
     tagged = df.withColumn("exclusion_reason", exclusion_reason(min_records))
     return (tagged.where(F.col("exclusion_reason").isNull()).drop("exclusion_reason"),

@@ -105,7 +105,7 @@ _CLASSIFIED_SQL = f"""
     LEFT JOIN hist h ON i.item_id = h.item_id"""
 
 
-@register("quarantine", headline=True, covers=("B3", "B4", "B5", "I9", "A14", "G1", "J9"),
+@register("quarantine", headline=True, covers=("B3", "B4", "B5", "I9", "A14", "G1"),
           oracle=lambda: V.with_views(f"""
     SELECT item_id, is_hardware, variant_type, variant_type <> 'standard' AS is_variant, release_year,
            price_record_count,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricelens.functions.numeric import rnd, rnd_sql
+from pricelens.operators.forecast import shift_time_varying
 from pricelens.plans import cleaning, documents, franchise, trends
 from pricelens.plans.registry import all_queries, register
 
@@ -76,4 +78,30 @@ def production_features(spark, sf_dir):
     return item_features(spark, sf_dir, V.PRODUCTION)
 
 
+SHIFT_MONTHS = 36
+
+
+def _shift_sql() -> str:
+    release, franchise = (all_queries()[n].oracle for n in ("release_prices", "franchise_features"))
+    return f"""
+    SELECT r.item_id, CAST(m AS INTEGER) AS months_ahead, r.months_since_release + CAST(m AS INTEGER) AS months_since_release,
+           r.months_since_discontinued + CAST(m AS INTEGER) AS months_since_discontinued,
+           {rnd_sql('f.days_since_last_franchise_release + m * 30.44', 2)} AS days_since_last_franchise_release,
+           {rnd_sql('CASE WHEN f.days_until_next_franchise_release IS NOT NULL THEN greatest(f.days_until_next_franchise_release - m * 30.44, 0.0) END', 2)}
+             AS days_until_next_franchise_release
+    FROM ({release}) r LEFT JOIN ({franchise}) f ON r.item_id = f.item_id, range(1, {SHIFT_MONTHS + 1}) t(m)"""
+
+
+@register("inference_grid", covers=("M4", "N3"), oracle=_shift_sql)
+def inference_grid(spark, sf_dir):
+    """Every item's forecast months with the features that move on with the horizon."""
+    qs = all_queries()
+    base = qs["release_prices"].build(spark, sf_dir).select("item_id", "months_since_release", "months_since_discontinued")
+    cadence = qs["franchise_features"].build(spark, sf_dir).select("item_id", "days_since_last_franchise_release", "days_until_next_franchise_release")
+    months = F.explode(F.sequence(F.lit(1), F.lit(SHIFT_MONTHS))).alias("months_ahead")
+    grid = shift_time_varying(base.join(cadence, "item_id", "left").select("*", months))
+    return grid.select("item_id", "months_ahead", "months_since_release", "months_since_discontinued",
+                       rnd("days_since_last_franchise_release", 2).alias("days_since_last_franchise_release"), rnd("days_until_next_franchise_release", 2).alias("days_until_next_franchise_release"))
+
+
 _ = (cleaning, documents, franchise, trends)

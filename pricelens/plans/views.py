@@ -48,6 +48,7 @@ CPI_REF_YEAR = 2001
 CUTOFF = "1999-12-31"
 TEST_END = "2001-11-30"
 AS_OF = "2001-11-30"
+# The tables' items have some thirty price records, so fewer than the library's default are asked for.
 MIN_RECORDS = 20
 YEAR_FLOOR = 1995
 
