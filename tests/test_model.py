@@ -108,3 +108,19 @@ def test_fold_encodings_match_one_fold_at_a_time(spark):
         for p, values in got.items():
             assert (values[k] is None) == (p not in want) and (p not in want or approx(values[k], want[p][0]))
         assert approx(means[k], next(iter(want.values()))[1])
+
+
+def test_running_moments_match_the_whole_buffer():
+    from pricelens.operators.recursive import Trail
+    rng = np.random.default_rng(4)
+    steps = np.exp(rng.normal(0, 0.02, (5, 60)).cumsum(axis=1)) * np.array([[1.0], [900.0], [1e6], [50.0], [3.0]])
+    steps[4] = 3.0                                   # a price that never moves
+    trail = Trail(steps[:, 0], 60)
+    for t in range(1, 60):
+        trail.append(steps[:, t])
+        for a in {0, max(0, t - 2), max(0, t - 23), t // 2}:
+            part = steps[:, a:t + 1]
+            if part.shape[1] >= 2:
+                x = np.arange(part.shape[1]) - (part.shape[1] - 1) / 2
+                assert np.allclose(trail.slope_x12(a, t + 1), (x * part).sum(axis=1) / (x * x).sum() * 12, rtol=1e-7, atol=1e-7)
+                assert np.allclose(trail.spread(a, t + 1), part.std(axis=1), rtol=1e-5, atol=1e-6)
