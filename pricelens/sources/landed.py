@@ -71,8 +71,8 @@ def read_game_documents(spark, path: str) -> tuple[DataFrame, DataFrame]:
 def extract_chart(html_col) -> "F.Column":
     """Embedded chart object of a page as ``MAP<condition, ARRAY<[ms, cents]>>``;
     no embedded object or malformed JSON -> NULL."""
-    raw = F.regexp_extract(html_col, CHART_PATTERN, 1)
-    return F.when(raw != "", F.from_json(raw, CHART_TYPE))
+    # of an empty text from_json makes NULL
+    return F.from_json(F.regexp_extract(html_col, CHART_PATTERN, 1), CHART_TYPE)
 
 
 def condition_dim(spark) -> DataFrame:
@@ -85,11 +85,13 @@ def chart_points(pages: DataFrame, key: str = "page_id", html: str = "html",
     (``extra`` page columns are carried along).
 
     Entries must be ``[epoch_ms, cents]`` pairs with a positive price; series
-    keys outside the condition dimension are ignored.
+    keys outside the condition dimension are ignored.  Every page is parsed
+    once: a plain explode would have Spark filter the pages by their parsed
+    chart first.
     """
     extra = extra or []
     charts = pages.select(key, *extra, extract_chart(F.col(html)).alias("_chart"))
-    series = charts.select(key, *extra, F.explode("_chart").alias("chart_key", "_series"))
+    series = charts.select(key, *extra, F.explode_outer("_chart").alias("chart_key", "_series"))
     series = series.join(F.broadcast(condition_dim(pages.sparkSession)), "chart_key")
     pts = series.select(key, *extra, "condition", F.explode("_series").alias("_e")).where(F.size("_e") == 2)
     pts = pts.where(F.col("_e")[1].isNotNull() & (F.col("_e")[1] > 0))
@@ -101,8 +103,8 @@ def ingest_status(pages: DataFrame, key: str = "page_id", html: str = "html",
                   http_status: str = "http_status") -> DataFrame:
     """Dead-letter rows for pages that produced no points: ``fetch_error``
     (non-200), ``no_data`` (no parsable chart), ``empty`` (chart without a
-    valid point).  Computed per page in one projection (no shuffle)."""
-    chart = extract_chart(F.col(html))
+    valid point).  Computed per page, which is parsed once (no shuffle)."""
+    chart = F.col("_chart")
     known = F.array(*[F.lit(k) for k in CONDITION_MAP])
     entries = F.flatten(F.map_values(F.map_filter(chart, lambda k, v: F.array_contains(known, k))))
     n_valid = F.size(F.filter(F.coalesce(entries, F.array().cast("array<array<bigint>>")),
@@ -110,7 +112,9 @@ def ingest_status(pages: DataFrame, key: str = "page_id", html: str = "html",
     status = (F.when(F.col(http_status) != 200, "fetch_error")
               .when(chart.isNull(), "no_data")
               .when(n_valid == 0, "empty"))
-    return pages.select(key, status.alias("status")).where(F.col("status").isNotNull())
+    charts = pages.select(key, http_status, extract_chart(F.col(html)).alias("_chart"))
+    # a filter stays above a generated column; on a plain one it would parse all pages once more
+    return charts.select(key, F.explode_outer(F.array(status)).alias("status")).where(F.col("status").isNotNull())
 
 
 def catalog_rows(pages: DataFrame, json_col: str = "body", console: str = "console",
