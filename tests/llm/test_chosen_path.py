@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelens.llm import chosen_path as C
+from pricelens.llm import components as parts
 from pricelens.llm.common import table
 from pricelens.llm.components import components
+from pricelens.session import checkpoint
 from rows import docs_of  # noqa: F401
 
 
@@ -223,3 +225,19 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
+
+
+def test_components_join_every_edge_twice_a_round(spark, monkeypatch):
+    """Stars are not joined at all; a round that is needed has one join for each of its two steps."""
+    joins = []
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return checkpoint(df)
+    monkeypatch.setattr(parts, "checkpoint", counted)
+    stars = [(i, i % 3) for i in range(3, 60)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 3 for i in range(60)} and sum(joins) == 0
+    path = [(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 101), (101, 100)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} and max(joins) == 1 and sum(joins) % 2 == 0
