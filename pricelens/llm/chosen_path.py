@@ -442,16 +442,17 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, levels: in
 
     n_runs = runs_for(recall, threshold, levels)
     roots = classes.select(F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("run"), "key", "sig")
-    rest, buckets = roots.select(F.xxhash64(F.lit(SEED), F.col("run")).alias("path"), "key", "sig"), None
+    rest, buckets = _step(roots.select(F.xxhash64(F.lit(SEED), F.col("run")).alias("path"), "key", "sig"), threshold), None
     sigs = classes.select(F.col("key").alias("of"), "sig")
     for level in range(levels):
-        found = checkpoint(_counted(_step(rest, threshold), "path"))
+        found = checkpoint(_counted(rest, "path"))
         ready = found if level + 1 == levels else found.filter(F.col("n") <= bucket_sets)
         buckets = ready if buckets is None else buckets.unionByName(ready)
         more = found.filter(F.col("n") > bucket_sets)
         if level + 1 == levels or more.isEmpty():
             break
-        rest = more.select("path", "key").join(sigs, F.col("key") == F.col("of")).drop("of")
+        # children are counted and then met with their counts: the join below them is done once
+        rest = checkpoint(_step(more.select("path", "key").join(sigs, F.col("key") == F.col("of")).drop("of"), threshold))
 
     similar = _similar(buckets, sigs, max(0.0, threshold - SKETCH_MARGIN), max(bucket_sets, last_sets))
     members = similar.join(classes.select(F.col("key").alias("of"), "first_row", "size"), F.col("node") == F.col("of"))

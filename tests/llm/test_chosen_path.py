@@ -241,3 +241,18 @@ def test_components_join_every_edge_twice_a_round(spark, monkeypatch):
     path = [(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 101), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} and max(joins) == 1 and sum(joins) % 2 == 0
+
+
+def test_signatures_are_joined_once_a_level(docs_of, monkeypatch):
+    """The children of large nodes are counted and met with their counts: what made them is done once."""
+    joins = []
+
+    def counted(df):
+        if df.columns == ["path", "key", "n"]:
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return checkpoint(df)
+    monkeypatch.setattr(C, "checkpoint", counted)
+    base = ["w%d" % i for i in range(60)]
+    texts = [(i, " ".join([*base, "x%d" % i])) for i in range(40)]
+    got = C.jaccard_join(docs_of(texts), bucket_sets=4).collect()
+    assert {r.class_id for r in got} == {0} and len(joins) > 2 and set(joins) == {1}
