@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.dates import corrected_release_year
@@ -60,6 +60,29 @@ def record_counts(points: DataFrame, items: DataFrame, platform_dim: DataFrame,
         F.coalesce(F.sum(F.when(is_canon, F.col("_n"))), F.lit(0)).cast("long").alias("price_record_count"))
 
 
+def counted_items(items: DataFrame, points: DataFrame, platform_dim: DataFrame, key: str = "item_id") -> DataFrame:
+    """Items with ``first_sale_year`` (of any point) and the
+    ``price_record_count`` of :func:`record_counts`, for items whose key stands
+    on one platform only.
+
+    The points are read once and combined to one row per item on the map side,
+    with a count for each canonical condition (one value per platform at most
+    reaches the driver); that row meets the items in one join, without a sort of
+    either side for it."""
+    names = sorted({r[0] for r in platform_dim.select("canonical_condition").collect()} - {None})
+    valid = (F.coalesce(~F.col("condition").isin(*SENTINEL_CONDITIONS), F.lit(True))
+             & F.col("date").isNotNull() & F.col("price").isNotNull() & ~F.isnan("price"))
+    seen = points.groupBy(key).agg(
+        F.year(F.min("date")).alias("first_sale_year"), F.count_if(valid).alias("_valid"),
+        *[F.count_if(valid & (F.col("condition") == name)).alias(f"_n{i}") for i, name in enumerate(names)])
+    out = items.join(F.broadcast(platform_dim.select("platform", "canonical_condition")), "platform", "left") \
+        .join(seen.hint("shuffle_hash"), key, "left")
+    canonical = F.coalesce(*[F.when(F.col("canonical_condition") == name, F.col(f"_n{i}")) for i, name in enumerate(names)], F.lit(0).cast("long"))
+    # an item that stands twice counts its points twice
+    times = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return out.select(*items.columns, "first_sale_year", F.when(F.col("_valid") > 0, canonical * times).alias("price_record_count"))
+
+
 def canonical_daily(per_date: DataFrame, key: str = "item_id") -> DataFrame:
     """Canonical-condition price per (item, date)."""
     return per_date.where(F.col("n") > 0).select(key, "date", "price")
@@ -89,12 +112,15 @@ def rnd2(c):
 
 def classify_items(items: DataFrame, first_sale: DataFrame | None = None, floor_year: int = 2005,
                    key: str = "item_id") -> DataFrame:
-    """Hardware tag, variant class and corrected release year."""
+    """Hardware tag, variant class and corrected release year (by the column
+    ``first_sale_year`` of ``first_sale`` or of the items themselves)."""
     out = items.withColumn("is_hardware", is_hardware(F.col("title"))) \
                .withColumn("variant_type", classify_variant(F.col("title"))) \
                .withColumn("is_variant", variant_flag(F.col("variant_type")))
     if first_sale is not None:
-        out = out.join(first_sale, key, "left").withColumn(
+        out = out.join(first_sale, key, "left")
+    if "first_sale_year" in out.columns:
+        out = out.withColumn(
             "release_year", corrected_release_year("release_year", "first_sale_year", floor_year)).drop("first_sale_year")
     return out
 

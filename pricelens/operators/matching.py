@@ -169,7 +169,7 @@ def match_titles(left: DataFrame, right: DataFrame, left_key: str = "item_id", r
     fuzzy = rest.join(best, ["platform", "norm"]).select(
         left_key, F.lit("fuzzy").alias("match_type"), rnd("_score", 1).alias("match_score"), *payload)
     matched = exact.unionByName(fuzzy)
-    out = L.select(left_key).join(matched, left_key, "left")
+    out = L.select(left_key).join(matched.hint("shuffle_hash"), left_key, "left")      # spares a sort of both sides
     return out.withColumn("match_type", F.coalesce("match_type", F.lit("unmatched")))
 
 

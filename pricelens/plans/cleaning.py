@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.numeric import rnd, rnd_sql
 from pricelens.functions.text import HARDWARE_PATTERNS, VARIANT_RULES
 from pricelens.operators.cleaning import (
-    SENTINEL_CONDITIONS, build_price_history, classify_items, exclusion_reason, hardware_breakdown, per_date_points, record_counts)
+    SENTINEL_CONDITIONS, build_price_history, classify_items, counted_items, exclusion_reason, hardware_breakdown, per_date_points)
 from pricelens.plans import views as V
 from pricelens.plans.registry import register
 
@@ -88,9 +88,8 @@ def price_history_query(spark, sf_dir):
 
 
 def classified(p: V.Panel):
-    first_sale = p.price_points.groupBy("item_id").agg(F.year(F.min("date")).alias("first_sale_year"))
-    hist = record_counts(points_with_seq(p), p.items, p.platform_dim).select("item_id", "price_record_count")
-    return classify_items(p.items, first_sale, floor_year=V.YEAR_FLOOR).join(hist, "item_id", "left")
+    counted = counted_items(p.items, points_with_seq(p), p.platform_dim)
+    return classify_items(counted, floor_year=V.YEAR_FLOOR)
 
 
 _CLASSIFIED_SQL = f"""

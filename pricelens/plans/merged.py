@@ -23,7 +23,7 @@ def merged_items(p: V.Panel):
     match = match_titles(p.items.select("item_id", "title", "platform"), sales_listing(p), payload=SALES_COLUMNS)
     # one row a platform
     condition = p.platform_dim.select("platform", "canonical_condition")
-    out = classified(p).join(match, "item_id", "left").join(F.broadcast(condition), "platform", "left")
+    out = classified(p).join(match.hint("shuffle_hash"), "item_id", "left").join(F.broadcast(condition), "platform", "left")
     return out.select(
         "item_id", "title", "platform", "release_year", "is_hardware", "variant_type",
         variant_flag("variant_type").alias("is_variant"), "price_record_count", "canonical_condition",
