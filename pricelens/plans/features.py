@@ -47,7 +47,8 @@ def _item_features(spark, sf_dir):
         df = qs[name].build(spark, sf_dir)
         k = _key(name)
         cols = cols or [c for c in df.columns if c not in (k, "genre", "publisher")]
-        out = out.join(df.select(F.col(k).alias("item_id"), *cols), "item_id", "left")
+        # held by item, a component needs no sort, nor do the rows it meets
+        out = out.join(df.select(F.col(k).alias("item_id"), *cols).hint("shuffle_hash"), "item_id", "left")
     return out.withColumn("market_liquidity_score", F.coalesce("price_record_count", F.lit(0)))
 
 

@@ -57,6 +57,11 @@ def real_price_trends(spark, sf_dir):
 
 # ----------------------------------------------------------------- yearly view
 def annual_real(p: V.Panel) -> DataFrame:
+    """Real annual prices up to the cutoff; computed once in a composite job."""
+    return p._shared("annual_real", lambda: _annual_real(p))
+
+
+def _annual_real(p: V.Panel) -> DataFrame:
     ann = annual_means(p.panel_between(until=p.scope.cutoff), None)
     real = deflate(ann, p.cpi, V.CPI_REF_YEAR, "mean_price", "year", out="real_price")
     return real.where(F.col("real_price").isNotNull())

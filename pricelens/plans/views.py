@@ -146,7 +146,7 @@ class Panel:
 
     Inside ``with materialized(spark, sf_dir):`` every ``Panel(spark, sf_dir)``
     is the same instance whose shared derived tables (items, units, monthly
-    panel) are computed once and reliably checkpointed into the shared
+    panel) are computed once and written as Parquet into the shared
     checkpoint folder, so a composite job scans and shuffles the raw tables
     once instead of once per component.
     """
@@ -174,8 +174,8 @@ class Panel:
         if not self.materialize:
             return build()
         if name not in self._memo:
-            from pricelens.session import checkpoint
-            self._memo[name] = checkpoint(build())
+            from pricelens.session import staged
+            self._memo[name] = staged(build(), name)
         return self._memo[name]
 
     @property
