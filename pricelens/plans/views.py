@@ -188,7 +188,17 @@ class Panel:
 
     @property
     def panel_m(self) -> DataFrame:
-        return self._shared("panel_m", lambda: self._only_included(panel_monthly(self.price_points)))
+        return self._shared("panel_m", lambda: panel_monthly(self._points_of_included()))
+
+    def _points_of_included(self) -> DataFrame:
+        """Price points of the included items, so that only these are averaged.  The
+        key is compared as a struct: the mean then has an exchange of its own, and
+        the points of a hot item, which AQE splits in this join, are combined before."""
+        points = self.price_points
+        if self.included is None:
+            return points
+        held = self.included.where(F.col("item_id").isNotNull()).select(F.struct("item_id").alias("_held"))
+        return points.join(held, F.struct(points["item_id"]) == F.col("_held"), "left_semi")
 
     def _only_included(self, df: DataFrame) -> DataFrame:
         """In a merged scope the rows of included items, their release year the corrected one."""
